@@ -7,12 +7,14 @@ whether it is empty.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglattice.session import pinned
+
 TRIM = r"(?U)\A\s+|\s+\z"
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 _FIELD = r"[ \t]*+(?:" + _QUOTED + r'|[^",]*+)'
@@ -62,13 +64,13 @@ def checked_rows(df: DataFrame, raw: str, rules: RowRules = ACCESS) -> DataFrame
     replaced. An empty table gives an empty one.
     """
     line = trimmed(F.col(raw))
-    rows = df.drop("cells", "errors").withColumn("__line", line).where((F.col("__line") != "") & (F.col("__line") != ",".join(rules.header)))
-    rows = rows.withColumn("cells", strict_cells(F.col("__line"))).drop("__line")
+    rows = pinned(df.drop("cells", "errors"), "__line", line).where((F.col("__line") != "") & (F.col("__line") != ",".join(rules.header)))
+    rows = pinned(rows, "cells", strict_cells(F.col("__line"))).drop("__line")
     shaped = F.size("cells") == len(rules.header)
     cell = lambda name: trimmed(F.get("cells", F.lit(rules.header.index(name))))
     failed = [F.when(~check(cell(name)), F.lit(name)) for name, check in rules.checks.items()]
     errors = F.when(F.col("cells").isNull(), F.array(F.lit("quoting"))).when(~shaped, F.array(F.lit("columns"))).otherwise(F.array_compact(F.array(*failed)))
-    return rows.withColumn("errors", errors)
+    return pinned(rows, "errors", errors)
 
 
 def split_rows(df: DataFrame, raw: str, rules: RowRules = ACCESS) -> tuple[DataFrame, DataFrame]:
