@@ -381,12 +381,12 @@ def sink_rows_ch(t):
     return table_rows(lines, "collector-1", {"env": "prod"}, F.col("ts")).select("ts", "host", F.col("labels")["env"].alias("env"), "message")
 
 
-@query("select strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' as "at", line message, 'collector-1' host from line_events where ts is not null and contains(line, 'ERROR')")
+@query("select strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' stamp, line message, 'collector-1' host from line_events where ts is not null and contains(line, 'ERROR')")
 def sink_docs_os(t):
     lines = t("line_events").where(F.col("ts").isNotNull() & filters.allowed(F.col("line"), ["ERROR"]))
     doc = sink_documents(lines, "collector-1", {"env": "prod"}, F.col("ts"))
     get = lambda k: F.get_json_object("doc", f"$['{k}']")
-    return doc.select(get("@timestamp").alias("at"), get("message").alias("message"), get("host").alias("host"))
+    return doc.select(get("@timestamp").alias("stamp"), get("message").alias("message"), get("host").alias("host"))
 
 
 @query("select count(*) lines_total, cast(coalesce(sum(strlen(line)), 0) as bigint) bytes_total from line_events where line <> ''")
