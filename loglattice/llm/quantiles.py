@@ -124,40 +124,74 @@ class Sketch:
 _PARTIAL = "grp string, day long, salt int, sketch binary"
 
 
-def _partials(k: int, held: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches: dict[tuple, Sketch] = {}
-        size, salt = 0, 0
+_KINDS = {"grp": pa.string(), "day": pa.int64(), "salt": pa.int32(), "sketch": pa.binary()}
 
-        def flush():
-            rows = {"grp": [g for g, _ in sketches], "day": [d for _, d in sketches], "salt": [salt] * len(sketches), "sketch": [s.pack() for s in sketches.values()]}
-            return pa.RecordBatch.from_pydict(rows, pa.schema([("grp", pa.string()), ("day", pa.int64()), ("salt", pa.int32()), ("sketch", pa.binary())]))
 
+def _partials(k: int, held: int):
+    """Sketches of the values of a task, by group and day; made whenever ``held`` values have come together."""
+
+    def sketched(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        grp = table["grp"].combine_chunks().dictionary_encode()
+        if isinstance(grp, pa.ChunkedArray):
+            grp = grp.combine_chunks()
+        days, values = table["day"].to_numpy(), table["value"].to_numpy()
+        codes, names = grp.indices.to_numpy(zero_copy_only=False), grp.dictionary.to_pylist()
+        order = np.lexsort((days, codes))
+        codes, days, values = codes[order], days[order], values[order]
+        cuts = np.concatenate(([0], np.flatnonzero((np.diff(codes) != 0) | (np.diff(days) != 0)) + 1))
+        packed = []
+        for part in np.split(values, cuts[1:]):
+            s = Sketch(k)
+            s.update(part)
+            packed.append(s.pack())
+        rows = {"grp": [names[c] for c in codes[cuts]], "day": days[cuts], "salt": [table["part"][0].as_py()] * len(cuts), "sketch": packed}
+        return pa.RecordBatch.from_pydict(rows, pa.schema(list(_KINDS.items())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            salt = batch["part"][0].as_py() if batch.num_rows else salt
-            for (g, d), v in batch.to_pandas().groupby(["grp", "day"], sort=False)["value"]:
-                s = sketches.setdefault((g, int(d)), Sketch(k))
-                before = sum(map(len, s.levels))
-                s.update(v.to_numpy())
-                size += sum(map(len, s.levels)) - before
-            if size > held:
-                yield flush()
-                sketches.clear()
-                size = 0
-        if sketches:
-            yield flush()
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.num_rows
+            if size >= held:
+                yield sketched(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield sketched(waiting)
 
     return run
 
 
-def _merge(key_columns: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = Sketch.unpack(pdf["sketch"].iloc[0])
-        for data in pdf["sketch"].iloc[1:]:
-            whole.merge(Sketch.unpack(data))
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in key_columns}, "sketch": [whole.pack()]})
+def _merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """One sketch for each combination of keys: rows meet sorted, and only one merged sketch is held at a time."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, alone, whole = None, b"", None
+        out: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            cols = {c: [r[i] for r in out] for i, c in enumerate([*keys, "sketch"])}
+            return pa.RecordBatch.from_pydict(cols, pa.schema([(c, _KINDS[c]) for c in cols]))
+
+        for batch in batches:
+            for *key, data in zip(*(batch[c].to_pylist() for c in keys), batch["sketch"].to_pylist()):
+                if key != now:
+                    if now is not None:
+                        out.append((*now, whole.pack() if whole else alone))
+                    now, alone, whole = key, data, None
+                else:
+                    whole = whole or Sketch.unpack(alone)
+                    whole.merge(Sketch.unpack(data))
+            if len(out) >= 1000:
+                yield rows()
+                out.clear()
+        if now is not None:
+            out.append((*now, whole.pack() if whole else alone))
+        yield rows()
+
+    schema = ", ".join(f"{c} {t}" for c, t in (("grp", "string"), ("day", "long"), ("salt", "int")) if c in keys) + ", sketch binary"
+    return sketches.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def daily_sketches(rows: DataFrame, group: str, day: str, value: str, k: int = 32, held: int = 4_000_000) -> DataFrame:
@@ -174,16 +208,14 @@ def daily_sketches(rows: DataFrame, group: str, day: str, value: str, k: int = 3
         F.pmod(F.spark_partition_id(), F.lit(64)).cast("int").alias("part"), F.col(value).cast("double").alias("value"),
     ).where(F.col("value").isNotNull() & ~F.isnan("value"))
     partial = part.mapInArrow(_partials(k, held), _PARTIAL)
-    salted = partial.groupBy("grp", "day", "salt").applyInPandas(_merge(["grp", "day", "salt"]), _PARTIAL)
-    return salted.groupBy("grp", "day").applyInPandas(_merge(["grp", "day"]), "grp string, day long, sketch binary")
+    return _merged(_merged(partial, ["grp", "day", "salt"]), ["grp", "day"])
 
 
 def combined(daily: DataFrame) -> DataFrame:
     """(grp, sketch): the days of each group put together."""
     ship(daily.sparkSession)
     salted = daily.withColumn("salt", F.pmod("day", F.lit(32)).cast("int"))
-    some = salted.groupBy("grp", "salt").applyInPandas(_merge(["grp", "salt"]), "grp string, salt int, sketch binary")
-    return some.groupBy("grp").applyInPandas(_merge(["grp"]), "grp string, sketch binary")
+    return _merged(_merged(salted, ["grp", "salt"]), ["grp"])
 
 
 def percentiles(sketches: DataFrame, at: dict[str, float], keep: tuple[str, ...] = ("grp",)) -> DataFrame:
