@@ -183,7 +183,8 @@ def viterbi(scores: list[np.ndarray], starts: list[list[bool]], inner: float = 9
 def labelled(texts: list[str | None], model: Model) -> list[list[tuple[str, int, int, float]]]:
     """Segments (language, first word, words, confidence) of each text; [] without own words.
 
-    The confidence is the mean probability of the segment's language over its words.
+    The confidence is the probability of the segment's language given its words' scores, whose sum is divided by the
+    square root of their number, since neighbouring words are not independent evidence.
     """
     parsed = [own_words(t) for t in texts]
     scores = [np.stack([model.row(w) for w in ws]) if ws else np.zeros((0, len(LANGS)), np.float32) for ws, _ in parsed]
@@ -193,10 +194,10 @@ def labelled(texts: list[str | None], model: Model) -> list[list[tuple[str, int,
         segments = []
         if len(path):
             cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-            p = np.exp(s)
-            p /= p.sum(1, keepdims=True)
             for a, b in zip(cuts, cuts[1:]):
-                segments.append((LANGS[path[a]], a, b - a, float(p[a:b, path[a]].mean())))
+                total = s[a:b].sum(0) / (b - a) ** 0.5
+                p = np.exp(total - total.max())
+                segments.append((LANGS[path[a]], a, b - a, float(p[path[a]] / p.sum())))
         out.append(segments)
     return out
 
