@@ -135,10 +135,10 @@ class _Batch(DataSourceReader):
             end = f.size if self.o.rest else complete_end(f.path, self.o.separator.encode(), f.size)
             if end > start:
                 out += self.o.ranges(f.path, f.file_id, start, end)
-        return out or [None]
+        return out or [Range("", "", 0, 0)]
 
     def read(self, partition):
-        return iter(()) if partition is None else self.o.rows(partition)
+        return self.o.rows(partition) if partition.end > partition.start else iter(())
 
 
 class _Stream(DataSourceStreamReader):
