@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The layouts of an audit record with and without stamp.
-STAMPED = r"(?s)\Atype=([A-Z_]+)[ \t\n\f\r]+msg=audit\((\d+)\.(\d+):(\d+)\):[ \t\n\f\r]*([^\n]*)\z"
-PLAIN = r"(?s)\Atype=([A-Z_]+)[ \t\n\f\r]+([^\n]*)\z"
-#: A token: escapes, quoted stretches (an unclosed one runs to the end) and other characters but blanks.
-TOKEN = r"""(?s)((?:\\(?:.|$)|"(?:[^"\\]|\\(?:.|$))*(?:"|$)|'(?:[^'\\]|\\(?:.|$))*(?:'|$)|[^ "'\\])+)"""
+from loglattice.session import fresh, pinned
+
+# Fixed value: the layout of an audit record, with or without stamp: type, seconds, fraction, serial, body.
+RECORD = r"(?s)\Atype=([A-Z_]+)[ \t\n\f\r]+(?:msg=audit\((\d+)\.(\d+):(\d+)\):[ \t\n\f\r]*([^\n]*)|([^\n]*))\z"
+#: A token: escapes, quoted stretches (an unclosed one runs to the end) and other characters but blanks. Possessive, so
+#: that long tokens need no stack.
+TOKEN = r"""(?s)((?:[^ "'\\]++|\\(?:.|$)|"(?:[^"\\]++|\\(?:.|$))*+(?:"|$)|'(?:[^'\\]++|\\(?:.|$))*+(?:'|$))++)"""
 _SPACES = r"(?U)\A\s+|\s+\z"
 
 
@@ -33,25 +35,35 @@ def pairs(body: Column) -> Column:
 
 def last_of_each(entries: Column) -> Column:
     """The entries without those whose key comes again later."""
-    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    later = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    keys = entries["key"]
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(later)
+
+
+def parts(line: Column) -> Column:
+    """An array of "", type, seconds, fraction, serial and body, from one pass over the line; null for other lines."""
+    text = F.regexp_replace(line, _SPACES, "")
+    return F.when(text.rlike(RECORD), F.split(F.regexp_replace(text, RECORD, "\u0001$1\u0001$2\u0001$3\u0001$4\u0001$5$6"), "\u0001", 6))
+
+
+def _number(c: Column) -> Column:
+    return F.coalesce(c.try_cast("long"), F.lit(0).cast("long"))
 
 
-def parse(line: Column) -> Column:
+def header(found: Column) -> dict[str, Column]:
+    """type, epoch_sec, epoch_nsec and serial of ``parts``."""
+    return {"type": found[1], "epoch_sec": _number(found[2]), "epoch_nsec": F.when(found[3] == "", F.lit(0).cast("long")).otherwise(_number(F.rpad(found[3], 9, "0"))), "serial": _number(found[4])}
+
+
+def parse(line: Column, found: Column | None = None) -> Column:
     """A struct raw, type, epoch_sec, epoch_nsec, serial, fields (map); null for lines that are no audit record.
 
     A record without stamp has zeros for time and serial. The fraction is padded or cut to nanoseconds; of equal keys
-    the last counts. Numbers that overflow are 0.
+    the last counts. Numbers that overflow are 0. ``found``: ``parts`` of the line, where they have been computed.
     """
-    text = F.regexp_replace(line, _SPACES, "")
-    part = lambda k: F.regexp_extract(text, STAMPED, k)
-    stamped, plain = text.rlike(STAMPED), text.rlike(PLAIN)
-    number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0))
-    body = F.when(stamped, part(5)).otherwise(F.regexp_extract(text, PLAIN, 2))
-    fields = F.map_from_entries(last_of_each(pairs(body)))
-    zero = F.lit(0).cast("long")
-    return F.when(stamped | plain, F.struct(
-        text.alias("raw"), F.regexp_extract(text, PLAIN, 1).alias("type"), F.when(stamped, number(part(2))).otherwise(zero).alias("epoch_sec"),
-        F.when(stamped, number(F.rpad(part(3), 9, "0"))).otherwise(zero).alias("epoch_nsec"), F.when(stamped, number(part(4))).otherwise(zero).alias("serial"), fields.alias("fields")))
+    got = parts(line) if found is None else found
+    fields = F.map_from_entries(last_of_each(pairs(got[5])))
+    return F.when(got.isNotNull(), F.struct(F.regexp_replace(line, _SPACES, "").alias("raw"), *(c.alias(n) for n, c in header(got).items()), fields.alias("fields")))
 
 
 def escaped(json: Column) -> Column:
@@ -70,5 +82,13 @@ def to_json(record: Column) -> Column:
 
 
 def parsed(df: DataFrame, line: str, out: str = "audit") -> DataFrame:
-    """``df`` with the parsed record of its lines in ``out``."""
-    return df.withColumn(out, parse(F.col(line)))
+    """``df`` with the parsed record of its lines in ``out``; each step is computed once a row."""
+    p = fresh([*df.columns, out], "parts")[0]
+    return pinned(pinned(df, p, parts(F.col(line))), out, parse(F.col(line), F.col(p))).drop(p)
+
+
+def headers(df: DataFrame, line: str, out: str = "audit") -> DataFrame:
+    """Like ``parsed``, without raw and fields."""
+    p = fresh([*df.columns, out], "parts")[0]
+    found = F.col(p)
+    return pinned(df, p, parts(F.col(line))).withColumn(out, F.when(found.isNotNull(), F.struct(*(c.alias(n) for n, c in header(found).items())))).drop(p)

@@ -82,7 +82,7 @@ def grouped(rows: DataFrame, options: MultilineOptions, block_lines: int = 100_0
     carried = F.last("m", True).over(Window.partitionBy("file_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     starts = starts.select("file_id", "__block", carried.alias("__carried"))
     rows = rows.join(starts, ["file_id", "__block"]).withColumn("first_idx", F.coalesce("__start", "__carried", "idx"))
-    lines = F.array_sort(F.collect_list(F.struct("idx", "line")))
+    lines = F.sort_array(F.collect_list(F.struct("idx", "line")))
     out = rows.groupBy("file_id", "first_idx").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("record"))
     return out
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.session import pinned
+
 
 def chunks(content: Column, separator: str) -> Column:
     """All pieces of a text between separators; the last one is the incomplete rest (maybe empty)."""
@@ -19,12 +21,12 @@ def records(files: DataFrame, file_id: str, content: str, separator: str = "\n",
     ``blank``: keep records without content (as multiline grouping needs them); ``rest``: also give what follows the
     last separator, if it is not empty. A null content has no records. Nothing is shuffled.
     """
-    rows = files.select(F.col(file_id).alias("file_id"), F.posexplode(chunks(F.col(content), separator)).alias("idx", "line"), F.size(chunks(F.col(content), separator)).alias("__n"))
-    last = F.col("idx") == F.col("__n") - 1
-    rows = rows.where(~last | (F.col("line") != "")) if rest else rows.where(~last)
-    if not blank:
-        rows = rows.where(F.col("line") != "")
-    return rows.drop("__n")
+    rows = pinned(files.select(F.col(file_id).alias("file_id"), F.col(content).alias("__text")), "__all", chunks(F.col("__text"), separator))
+    whole = F.slice("__all", F.lit(1), F.size("__all") - 1)
+    if rest:
+        whole = F.when(F.element_at("__all", -1) != "", F.col("__all")).otherwise(whole)
+    rows = rows.select("file_id", F.posexplode(whole).alias("idx", "line"))
+    return rows if blank else rows.where(F.col("line") != "")
 
 
 def with_offsets(rows: DataFrame, separator: str = "\n") -> DataFrame:
@@ -47,5 +49,5 @@ def resumed(files: DataFrame, offsets: DataFrame, file_id: str, content: str, se
     both = files.join(saved, F.col(file_id) == F.col("__id"), "left")
     data = F.encode(F.col(content), "utf-8")
     start = F.when(F.col("__start") <= F.octet_length(content), F.col("__start")).otherwise(0)
-    rest = F.decode(F.substr(data, F.coalesce(start, F.lit(0)).cast("int") + 1), "utf-8")
-    return records(both.select(F.col(file_id).alias("file_id"), rest.alias("content")), "file_id", "content", separator)
+    left = F.decode(F.substr(data, F.coalesce(start, F.lit(0)).cast("int") + 1), "utf-8")
+    return records(both.select(F.col(file_id).alias("file_id"), left.alias("content")), "file_id", "content", separator)

@@ -229,8 +229,9 @@ f as (select event_id, "key", arg_max("value", i) "value" from z group by 1, 2)
 )
 
 
-def _audited(t) -> DataFrame:
-    return pinned(t("audit_records").select("event_id", "raw"), "a", audit.parse(F.col("raw"))).where(F.col("a").isNotNull())
+def _audited(t, fields: bool = False) -> DataFrame:
+    read = audit.parsed if fields else audit.headers
+    return read(t("audit_records").select("event_id", "raw"), "raw", "a").where(F.col("a").isNotNull())
 
 
 @query(_AUDIT + "select event_id, ty rec_type, epoch_sec, serial from h")
@@ -245,7 +246,7 @@ def audit_ns(t):
 
 @query(_PAIRS + 'select event_id, "key", "value" from f')
 def audit_fields_long(t):
-    return _audited(t).select("event_id", F.explode("a.fields").alias("key", "value"))
+    return _audited(t, True).select("event_id", F.explode("a.fields").alias("key", "value"))
 
 
 _JSON = (
@@ -258,19 +259,19 @@ select h.event_id, replace(replace(replace('{"raw":' || cast(to_json(x) as varch
 
 @query(_JSON)
 def audit_json(t):
-    return _audited(t).select("event_id", audit.to_json(F.col("a")).alias("json"))
+    return _audited(t, True).select("event_id", audit.to_json(F.col("a")).alias("json"))
 
 
 @query(rf"select event_id from line_events where regexp_matches({_TRIM.format('line')}, '^type=[A-Z_]+\s+[^\n]*$')")
 def audit_drop(t):
-    rows = pinned(t("line_events").select("event_id", "line"), "a", audit.parse(F.col("line")))
+    rows = audit.parsed(t("line_events").select("event_id", "line"), "line", "a")
     return rows.where(filters.output_text(F.col("line"), audit.to_json(F.col("a")), F.col("a").isNotNull(), drop=True).isNotNull()).select("event_id")
 
 
 @query("select event_id, line from line_events where not contains(file, '.csv')")
 def audit_passthrough(t):
     """With the raw format, every line is passed on as it came."""
-    rows = pinned(t("line_events").where(~F.contains("file", F.lit(".csv"))).select("event_id", "line"), "a", audit.parse(F.col("line")))
+    rows = audit.parsed(t("line_events").where(~F.contains("file", F.lit(".csv"))).select("event_id", "line"), "line", "a")
     return rows.select("event_id", filters.output_text(F.col("line"), audit.to_json(F.col("a")), F.col("a").isNotNull(), "raw").alias("line"))
 
 

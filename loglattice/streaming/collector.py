@@ -11,7 +11,6 @@ from loglattice.functions import audit
 from loglattice.operators.filters import output_text
 from loglattice.operators.multiline import grouped
 from loglattice.options import Options, ParserOptions
-from loglattice.session import pinned
 from loglattice.sinks.writers import build
 from loglattice.sources import logtail
 from loglattice.streaming.grouping import grouped_stream
@@ -22,7 +21,7 @@ def parsed_lines(lines: DataFrame, parser: ParserOptions) -> DataFrame:
     """``line`` as the parser passes it on; only auditd is wired here, other types pass lines through."""
     if parser.type != "auditd":
         return lines
-    rows = pinned(lines, "__record", audit.parse(F.col("line")))
+    rows = audit.parsed(lines, "line", "__record")
     text = output_text(F.col("line"), audit.to_json(F.col("__record")), F.col("__record").isNotNull(), parser.format, parser.drop_non_matching)
     return rows.withColumn("line", text).drop("__record").where(F.col("line").isNotNull())
 
