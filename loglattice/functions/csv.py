@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.session import pinned
+
 # Texts that are booleans, and the time layouts tried, in order.
 TRUE, FALSE = ("true", "yes", "1", "on"), ("false", "no", "0", "off")
 TIMES = (
@@ -70,29 +72,33 @@ def kind_of(value: Column, strict_bool: bool = False) -> Column:
     return F.when(v == "", "empty").when(low.isin(*truth), "bool").when(whole, "int").when(finite | named, "float").when(as_time(v).isNotNull(), "time").otherwise("string")
 
 
-def parsed(df: DataFrame, file_id: str, order: str, line: str, options: CsvOptions = CsvOptions()) -> DataFrame:
-    """(file_id, order, line_number, raw, names, cells, error) of each row that is no header.
+def parsed(df: DataFrame, file_id: str, order: str, line: str, options: CsvOptions = CsvOptions(), block_lines: int = 100_000) -> DataFrame:
+    """(file_id, ord, line_number, raw, names, cells, error) of each row that is no header.
 
     Blank lines count for nothing. Line numbers count headers and malformed lines. The header is the first counted line
     of a file if it has one and is well formed; else names are the given ones, or field_1, field_2 and so on, as many as
     the first well-formed row has cells. Cells beyond the names are extra_field_N. error is set, and cells null, for
-    broken quoting.
+    broken quoting. ``order`` is an integer. Lines are numbered in blocks of a file, and blocks by their counts, so no
+    file passes through one task.
     """
-    text = F.regexp_replace(F.col(line), _SPACES, "")
-    rows = df.select(F.col(file_id).alias("file_id"), F.col(order).alias("ord"), text.alias("raw")).where(F.col("raw") != "")
-    by_file = Window.partitionBy("file_id").orderBy("ord")
-    rows = rows.withColumn("line_number", F.row_number().over(by_file)).withColumn("cells", cells(F.col("raw"), options.delimiter))
-    everything = Window.partitionBy("file_id")
-    head = F.max(F.when((F.col("line_number") == 1) & F.lit(options.has_headers), F.col("cells"))).over(everything)
-    rows = rows.withColumn("head", head)
-    is_head = (F.col("line_number") == 1) & F.lit(options.has_headers) & F.col("cells").isNotNull()
-    first = F.min(F.when(F.col("cells").isNotNull() & ~is_head, F.struct("line_number", F.size("cells").alias("n")))).over(everything)
-    made = F.transform(F.sequence(F.lit(1), first["n"]), lambda i: F.concat(F.lit("field_"), i.cast("string")))
+    rows = df.select(F.col(file_id).alias("file_id"), F.col(order).cast("long").alias("ord"), F.regexp_replace(F.col(line), _SPACES, "").alias("raw")).where(F.col("raw") != "")
+    rows = pinned(rows, "cells", cells(F.col("raw"), options.delimiter)).withColumn("block", F.call_function("div", F.col("ord"), F.lit(block_lines)))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("file_id", "block").orderBy("ord")))
+    first, shaped = F.min_by("cells", "ord").alias("head"), F.min_by(F.size("cells"), F.when(F.col("cells").isNotNull(), F.col("ord"))).alias("n_cells")
+    blocks = rows.groupBy("file_id", "block").agg(F.count(F.lit(1)).alias("n"), first, shaped, F.max(F.when(F.col("cells").isNotNull(), True)).alias("ok"))
+    by_file = Window.partitionBy("file_id").orderBy("block")
+    whole = by_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.first("head").over(whole) if options.has_headers else F.lit(None).cast("array<string>")
+    before = F.coalesce(F.sum("n").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    made = F.first(F.when(F.col("ok"), F.col("n_cells")), True).over(whole)
+    blocks = blocks.select(F.col("file_id").alias("b_file"), F.col("block").alias("b_block"), before.alias("before"), head.alias("head"), made.alias("n_cells"))
+    rows = rows.join(blocks, F.col("file_id").eqNullSafe(F.col("b_file")) & (F.col("block") == F.col("b_block"))).withColumn("line_number", (F.col("at") + F.col("before")).cast("int"))
+    numbered = F.transform(F.sequence(F.lit(1), F.col("n_cells")), lambda i: F.concat(F.lit("field_"), i.cast("string")))
     given = F.array(*map(F.lit, options.headers)) if options.headers else F.lit(None).cast("array<string>")
-    rows = rows.withColumn("names", F.coalesce("head", given, made)).where(~is_head)
-    names = F.transform(F.col("cells"), lambda c, i: F.coalesce(F.get("names", i), F.concat(F.lit("extra_field_"), (i + 1).cast("string"))))
+    rows = rows.withColumn("known", F.coalesce("head", given, numbered)).where(~((F.col("line_number") == 1) & F.col("head").isNotNull()))
+    names = F.transform("cells", lambda c, i: F.coalesce(F.get("known", i), F.concat(F.lit("extra_field_"), (i + 1).cast("string"))))
     error = F.when(F.col("cells").isNull(), F.concat(F.lit("failed to parse CSV line "), F.col("line_number").cast("string")))
-    return rows.select("file_id", "ord", F.col("line_number").cast("int").alias("line_number"), "raw", names.alias("names"), "cells", error.alias("error"))
+    return rows.select("file_id", "ord", "line_number", "raw", names.alias("names"), "cells", error.alias("error"))
 
 
 def fields(rows: DataFrame, options: CsvOptions = CsvOptions()) -> DataFrame:

@@ -75,8 +75,12 @@ class SeenMessages:
     DICTIONARY = "k_a string, k_b long, shard int, code long, first_id long"
     BITS = "shard int, bucket long, bits binary"
 
-    def __init__(self, spark: SparkSession, path: str, shards: int = 256):
-        self.spark, self.shards = spark, shards
+    def __init__(self, spark: SparkSession, path: str, shards: int | None = None):
+        """``shards``: how many parts new identifiers are spread over; by default four for each shuffle partition.
+
+        It may differ between deliveries: an identifier keeps the shard and code it was given first.
+        """
+        self.spark, self.shards = spark, shards or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.words, self.bits = VersionedTable(spark, f"{path}/words"), VersionedTable(spark, f"{path}/bits")
 
     def dictionary(self) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -20,12 +22,14 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    packed = os.path.join(tempfile.mkdtemp(prefix="loglattice-"), "loglattice.zip")
+    folder = tempfile.mkdtemp(prefix="loglattice-")
+    atexit.register(shutil.rmtree, folder, True)
+    packed = os.path.join(folder, "loglattice.zip")
     with zipfile.ZipFile(packed, "w") as z:
-        for folder, _, names in sorted(os.walk(root)):
+        for inside, _, names in sorted(os.walk(root)):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(inside, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(packed)
     _SHIPPED.add(app)
@@ -44,12 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="loglattice-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], True)
     return _LOCAL_DIRS[app]
 
 
+def _remove(sc, path: str) -> None:
+    """Deletes an intermediate table when the driver ends in order; a later run never needs it."""
+    try:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may have been stopped before
+        pass
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/loglattice/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder, removed at the end of the driver."""
+    path = f"{shared_dir(spark)}/loglattice/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark.sparkContext, path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

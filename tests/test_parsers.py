@@ -88,7 +88,7 @@ def test_csv(spark):
     lines = ["timestamp,level,message,count", "2023-12-01 10:00:00,INFO,Test message,42", "", '"a, b",x', 'bad"quote,1', " x, y ,z,1,more"]
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)] + [("g", 0, 'broken"'), ("g", 1, "p,q")], "file string, no int, line string")
     o = csv.CsvOptions(has_headers=True, detect_types=True)
-    rows = csv.parsed(df, "file", "no", "line", o)
+    rows = csv.parsed(df, "file", "no", "line", o, block_lines=2)
     assert [(r["file_id"], r["line_number"]) for r in rows.where("error is not null").orderBy("file_id").collect()] == [("f", 4), ("g", 1)]
     got = {(r["file_id"], r["line_number"], r["key"]): (r["value"], r["kind"]) for r in csv.fields(rows, o).collect()}
     assert got["f", 2, "timestamp"] == ("2023-12-01 10:00:00", "time") and got["f", 2, "count"] == ("42", "int") and got["f", 3, "timestamp"] == ("a, b", "string")
