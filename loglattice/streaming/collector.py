@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.functions import audit
-from loglattice.operators.filters import output_text
+from loglattice.operators.filters import allowed, output_text
 from loglattice.operators.multiline import grouped
 from loglattice.options import Options, ParserOptions
 from loglattice.sinks.writers import build
 from loglattice.sources import logtail
+from loglattice.sources.discovery import listing
+from loglattice.sources.offsets import OffsetStore
 from loglattice.streaming.grouping import grouped_stream
 from loglattice.streaming.metrics import Metrics
 
@@ -36,40 +39,56 @@ class Collector:
         self.on_events, self.metrics, self.query = on_events, Metrics(), None
         logtail.register(spark)
 
-    def _source(self, reader, blank: bool, rest: bool = False):
-        import json
-
+    def _source(self, reader, blank: bool, rest: bool = False, start: dict[str, int] | None = None):
         c = self.o.collector
         return reader.format("logtail").options(
             include=json.dumps(c.include), exclude=json.dumps(c.exclude), separator=c.separator, fingerprintStrategy=c.fingerprint_strategy,
-            fingerprintSize=str(c.fingerprint_size or 1024), keepBlank=str(blank).lower(), rest=str(rest).lower(),
+            fingerprintSize=str(c.fingerprint_size or 1024), keepBlank=str(blank).lower(), rest=str(rest).lower(), startOffsets=json.dumps(start or {}),
         )
 
     def _deliver(self, events: DataFrame) -> None:
         events = events.persist()
+        name, s = ("events" if self.on_events else self.o.sink.type or "stdout"), self.o.sink
         try:
-            self.metrics.lines(events)
-            if self.on_events:
-                self.on_events(events)
-                return
-            lines = parsed_lines(events, self.o.parser)
-            if self.sink:
-                self.sink(lines)
-            else:
-                for row in lines.select("line").toLocalIterator():
-                    print(row["line"])
+            lines = events if self.on_events else parsed_lines(events, self.o.parser)
+            self.metrics.lines(lines, F.lit(True) if self.on_events else allowed(F.col("line"), s.include, s.exclude), name)
+            with self.metrics.flush(name):
+                if self.on_events:
+                    self.on_events(events)
+                elif self.sink:
+                    self.sink(lines)
+                else:
+                    for row in lines.select("line").toLocalIterator():
+                        print(row["line"])
         finally:
             events.unpersist()
 
     def once(self) -> None:
-        """Delivers all complete records, and with multiline grouping what is left at the end of each file."""
-        m = self.o.collector.multiline
-        rows = self._source(self.spark.read, bool(m), bool(m)).load()
+        """Delivers all complete records, and with multiline grouping what is left at the end of each file.
+
+        With stored offsets, only what is new since the last call; they are saved after the delivery. Offsets of files
+        that are gone are deleted. There is one offset for each file of the listing, which the driver holds anyway.
+        """
+        c, m = self.o.collector, self.o.collector.multiline
+        store = OffsetStore(self.spark, c.db_path) if c.store_offsets else None
+        known = {r["id"]: r["byte_offset"] for r in store.load().where(F.col("strategy") == c.fingerprint_strategy).collect()} if store else {}
+        self.metrics.add("restored_offsets_total", len(known))
+        rows = self._source(self.spark.read, bool(m), bool(m), known).load().persist()
+        events = rows
         if m:
-            paths = rows.select("file_id", "file").groupBy("file_id").agg(F.min("file").alias("file"))
-            records = grouped(rows.select("file_id", F.col("byte_pos").alias("idx"), "line"), m, block_lines=1 << 30)
-            rows = records.join(paths, "file_id").select(F.col("record").alias("line"), "file", F.current_timestamp().alias("ts"))
-        self._deliver(rows.select("line", "file", "ts"))
+            paths = rows.groupBy("file_id").agg(F.min("file").alias("file"))
+            records = grouped(rows.select("file_id", F.col("byte_pos").alias("idx"), "line"), m, block_lines=1 << 26)
+            events = records.join(paths, "file_id").select(F.col("record").alias("line"), "file", F.current_timestamp().alias("ts"))
+        try:
+            self._deliver(events.select("line", "file", "ts"))
+            if store:
+                read = rows.groupBy(F.col("file_id").alias("id")).agg(F.max("end_pos").alias("byte_offset"), F.min("file").alias("path"))
+                store.save(read.withColumn("strategy", F.lit(c.fingerprint_strategy)))
+                now = {f.file_id for f in listing(c.include, c.exclude, c.fingerprint_strategy, c.fingerprint_size or 1024, c.separator)}
+                if gone := [(k, c.fingerprint_strategy) for k in known if k not in now]:
+                    store.delete(self.spark.createDataFrame(gone, "id string, strategy string"))
+        finally:
+            rows.unpersist()
 
     def start(self, available_now: bool = False):
         """A running query; offsets are committed after the batch was delivered."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections import defaultdict
+from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import Column, DataFrame
@@ -14,10 +16,14 @@ BATCH_BOUNDS = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000)
 SECOND_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
 
 
-def line_totals(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(lines_total, bytes_total): records and their bytes, without separators; blank ones count for nothing."""
+def line_totals(lines: DataFrame, line: str = "line", kept: Column | None = None) -> DataFrame:
+    """(lines_total, bytes_total): records and their bytes, without separators; blank ones count for nothing.
+
+    With a filter, also the lines it keeps and the number of files (by a column ``file``).
+    """
     some = lines.where(F.length(line) > 0)
-    return some.agg(F.count(F.lit(1)).alias("lines_total"), F.coalesce(F.sum(F.octet_length(line)), F.lit(0)).cast("long").alias("bytes_total"))
+    more = [] if kept is None else [F.coalesce(F.sum(kept.cast("long")), F.lit(0)).alias("kept"), F.countDistinct("file").alias("files")]
+    return some.agg(F.count(F.lit(1)).alias("lines_total"), F.coalesce(F.sum(F.octet_length(line)), F.lit(0)).cast("long").alias("bytes_total"), *more)
 
 
 def buckets(value: Column, bounds: tuple[float, ...] = BATCH_BOUNDS) -> Column:
@@ -29,7 +35,7 @@ class Metrics:
     """Named counters with labels, safe to use from several threads."""
 
     def __init__(self):
-        self._lock, self.values = threading.Lock(), defaultdict(float)
+        self._lock, self.values, self.batch = threading.Lock(), defaultdict(float), 0
 
     def add(self, name: str, amount: float = 1, **labels: str) -> None:
         if amount > 0:
@@ -43,12 +49,34 @@ class Metrics:
         self.add(f"{name}_sum", value, **labels)
         self.add(f"{name}_count", 1, **labels)
 
-    def lines(self, events: DataFrame) -> None:
-        row = line_totals(events).first()
+    def lines(self, events: DataFrame, kept: Column, sink: str) -> None:
+        """Counts a batch: lines and bytes, files, and what the sink's filter lets through or drops; one pass."""
+        row = line_totals(events, kept=kept).first()
         self.add("lines_total", row["lines_total"])
         self.add("bytes_total", row["bytes_total"])
-        if row["lines_total"]:
-            self.observe("flush_batch_size", row["lines_total"])
+        self.set("active_files", row["files"])
+        self.add("sink_enqueued_total", row["kept"], sink=sink)
+        self.add("sink_dropped_total", row["lines_total"] - row["kept"], sink=sink, reason="filtered")
+        self.batch = int(row["kept"])
+
+    def set(self, name: str, value: float, **labels: str) -> None:
+        with self._lock:
+            self.values[name, tuple(sorted(labels.items()))] = value
+
+    @contextmanager
+    def flush(self, sink: str):
+        """Times a delivery and counts it, or its failure; empty batches count for no flush."""
+        began = time.monotonic()
+        try:
+            yield
+        except Exception:
+            self.add("sink_flush_failures_total", 1, sink=sink)
+            self.add("errors_total", 1)
+            raise
+        if self.batch:
+            self.add("sink_flush_total", 1, sink=sink)
+            self.observe("sink_flush_batch_size", self.batch, sink=sink)
+            self.observe("sink_flush_duration_seconds", time.monotonic() - began, SECOND_BOUNDS, sink=sink)
 
     def text(self) -> str:
         with self._lock:

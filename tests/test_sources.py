@@ -134,7 +134,7 @@ def test_stream_groups_and_flushes_idle_records(spark, tmp_path):
 def test_once_with_parser_filter_and_file_sink(spark, tmp_path):
     f = write(tmp_path / "audit.log", b'type=A msg=audit(1.5:7): k="v w"\nplain\nkeep drop\n')
     o = opt.Options()
-    o.collector = opt.CollectorOptions(include=[f])
+    o.collector = opt.CollectorOptions(include=[f], db_path=str(tmp_path / "db"))
     o.parser = opt.ParserOptions("auditd")
     o.sink = opt.SinkOptions("file", exclude=["drop"], file={"path": str(tmp_path / "out")})
     Collector(spark, o, str(tmp_path / "cp")).once()
@@ -142,10 +142,27 @@ def test_once_with_parser_filter_and_file_sink(spark, tmp_path):
     assert out[0] == "plain" and json.loads(out[1])["fields"] == {"k": "v w"} and len(out) == 2
 
 
+def test_once_goes_on_from_stored_offsets(spark, tmp_path):
+    f = write(tmp_path / "a.log", b"line1\nline2\nline3\n")
+    o, got = opt.Options(), []
+    o.collector = opt.CollectorOptions(include=[str(tmp_path / "*.log")], db_path=str(tmp_path / "db"), fingerprint_strategy="checksum", fingerprint_size=3)
+    run = lambda: Collector(spark, o, "", on_events=lambda df: got.extend(sorted(r["line"] for r in df.collect()))).once()
+    run()
+    run()
+    write(f, b"line4\nline5\npart", "ab")
+    run()
+    assert got == ["line1", "line2", "line3", "line4", "line5"]
+    os.remove(f)
+    write(tmp_path / "b.log", b"other\n")
+    run()
+    stored = OffsetStore(spark, str(tmp_path / "db")).load().collect()
+    assert got[5:] == ["other"] and [(r["path"], r["byte_offset"]) for r in stored] == [(str(tmp_path / "b.log"), 6)]
+
+
 def test_once_groups_to_the_end_of_the_file(spark, tmp_path):
     f = write(tmp_path / "a.log", b"ERROR start\n  detail1\n  detail2")
     o, got = opt.Options(), []
-    o.collector = opt.CollectorOptions(include=[f], multiline=opt.MultilineOptions(java=True))
+    o.collector = opt.CollectorOptions(include=[f], multiline=opt.MultilineOptions(java=True), store_offsets=False)
     Collector(spark, o, str(tmp_path / "cp"), on_events=lambda df: got.extend(df.collect())).once()
     assert [(r["line"], r["file"]) for r in got] == [("ERROR start\n  detail1\n  detail2", f)]
 
