@@ -328,7 +328,7 @@ def _encoder(path: str, group_chars: int, count_only: bool):
     return run
 
 
-def encoded(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, key: str = "doc_id", text: str = "text", group_chars: int = 24_000_000) -> DataFrame:
+def encoded(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, key: str = "doc_id", text: str = "text", group_chars: int = 12_000_000) -> DataFrame:
     """(doc_id, ids): the ids of each whole text, without special tokens; one row for each row of ``documents``.
 
     Null, empty: no ids (an empty list). Strings of special tokens in a text are ordinary text. Rows are read in place:
@@ -339,7 +339,7 @@ def encoded(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str
     return rows.mapInArrow(_encoder(f"{folder}/{vocabulary}.tiktoken", group_chars, False), "doc_id long, ids array<int>")
 
 
-def token_counts(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, key: str = "doc_id", text: str = "text", keep: str | None = None, group_chars: int = 24_000_000) -> DataFrame:
+def token_counts(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, key: str = "doc_id", text: str = "text", keep: str | None = None, group_chars: int = 12_000_000) -> DataFrame:
     """(doc_id[, keep], n_tokens) of each text; 0 for null and empty texts. ``keep`` names a text column to pass on."""
     others = [F.col(keep).cast("string").alias("kept")] if keep else []
     ship(documents.sparkSession)
