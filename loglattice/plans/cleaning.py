@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.operators import increments, instants, late, layouts, messages, rejects
+from loglattice.plans import times_sql
 from loglattice.plans.tables import Query, reader
 from loglattice.session import work_path
 
@@ -106,6 +107,9 @@ v as (select *, case when not strict then 'quoting' when len(c) <> 7 then 'colum
   when c[7] <> '' and not (regexp_full_match(c[7], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') and coalesce(try_cast(c[7] as double) >= 0 and not isinf(try_cast(c[7] as double)), false)) then 'duration' end reason from r)
 """
 ORACLES: dict[str, str] = {
+    "p1_found": times_sql.P1_FOUND,
+    "p3_found": times_sql.P3_FOUND,
+    "p3_hours": times_sql.P3_HOURS,
     "p2_found": _OPEN + "select listing_id, start_pos from (select listing_id, file_size, coalesce(start_pos, 0) start_pos from d) where file_size > start_pos",
     "p2_changes": _OPEN + "select case when done_to is null then 'added' when file_size < done_to then 'shrunk' when file_size > done_to then 'grown' else 'same' end change, count(*) n_files, cast(sum(greatest(file_size - coalesce(start_pos, 0), 0)) as bigint) n_bytes from d group by 1",
     "p2_removed": _OPEN + "select id file_id, strategy, done_to from s where not exists (select 1 from m where m.file_id = s.id and m.strategy = s.strategy)",
