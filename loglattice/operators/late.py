@@ -1,8 +1,9 @@
 """Counts and sums by event-time period that late records correct up to a cut-off.
 
-State is one counter for each (period, source): a version and the totals known at that version. Counters merge by the
-larger version of each source, periods sum over sources. The merge is commutative, associative and idempotent, so
-batches may arrive repeated, reordered or in parts on several machines.
+State is one counter for each (period, source, batch): a version and the totals known at that version. Counters merge by
+the larger version of each contributor, periods sum over contributors. The merge is commutative, associative and
+idempotent, so batches may arrive repeated, reordered or on several machines. What one state takes of a batch has to
+include what an earlier one took; where machines share a batch, the contributor has to be finer (``part`` of counters).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def verdict(event_us: Column, arrival_us: Column, period_us: int = HOUR_US, cuto
 
 def timed_access(access: DataFrame, events: DataFrame, hosts: DataFrame) -> DataFrame:
     """access rows (each copy on its own) with event_us, arrival_us, hour_no and verdict, from one join on event_id."""
-    lines = events.select(F.col("event_id").alias("e_id"), "ts", "host_name", "file")
+    lines = events.select(F.col("event_id").alias("e_id"), "ts", "host_name", "file", "batch_no")
     rows = access.select("event_id", "access_ts", "bytes", "duration").join(lines, F.col("event_id") == F.col("e_id")).drop("e_id")
     rows = with_host_zone(rows, hosts, "host_name", "zone", "mode")
     rows = with_arrival_instant(with_instant(rows, "access_ts", "zone", "event_us"), "ts", "zone", "mode", "arrival_us")
@@ -38,14 +39,14 @@ def timed_access(access: DataFrame, events: DataFrame, hosts: DataFrame) -> Data
     return rows.withColumn("hour_no", F.when(F.col("verdict").isNotNull(), period_of(F.col("event_us"))))
 
 
-def counters(rows: DataFrame, source: str = "file") -> DataFrame:
-    """Counters of accepted rows by (hour_no, source); version: the latest event_id that contributed.
+def counters(rows: DataFrame, source: str = "file", part: str = "batch_no") -> DataFrame:
+    """Counters of accepted rows by (hour_no, source, part); version: the latest event_id that contributed.
 
-    Partial sums are made before the shuffle, so one source or hour with most of the rows is no hot spot. A null
+    ``part`` is the contributor besides the source: rows of different parts never replace each other in a merge. Partial sums are made before the shuffle, so one source or hour with most of the rows is no hot spot. A null
     source counts as the source ''. Sums are of whole microseconds, so their order does not matter.
     """
     ok = rows.where(F.col("verdict").isin("base", "amend"))
-    return ok.groupBy("hour_no", F.coalesce(F.col(source), F.lit("")).alias("source")).agg(
+    return ok.groupBy("hour_no", F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(part).alias("part")).agg(
         F.max("event_id").alias("version"), F.count(F.lit(1)).alias("n"), F.sum((F.col("verdict") == "amend").cast("long")).alias("n_amended"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.round(F.col("duration") * 1e6).cast("long")), F.lit(0)).alias("duration_us"),
     )
@@ -55,7 +56,7 @@ FIELDS = ("n", "n_amended", "bytes", "duration_us")
 
 
 def merge(*states: DataFrame) -> DataFrame:
-    """The join of counter states: for each (hour_no, source) the totals of the largest version.
+    """The join of counter states: for each contributor (hour_no, source and, if there, part) the totals of the largest version.
 
     Of equal versions the larger totals count, so that the result does not depend on the order.
     """
@@ -63,12 +64,19 @@ def merge(*states: DataFrame) -> DataFrame:
     for s in states[1:]:
         union = union.unionByName(s)
     best = F.max(F.struct("version", *FIELDS)).alias("m")
-    return union.groupBy("hour_no", "source").agg(best).select("hour_no", "source", "m.*")
+    keys = [c for c in union.columns if c not in ("version", *FIELDS)]
+    return union.groupBy(*keys).agg(best).select(*keys, "m.*")
+
+
+def with_batch(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """``state`` corrected by the rows of one or more batches, however late; batches that it knows change nothing."""
+    return merge(state, counters(rows))
 
 
 def totals(state: DataFrame) -> DataFrame:
-    """Corrected totals by hour: the sum over sources."""
-    return state.groupBy("hour_no").agg(*(F.sum(f).alias(f) for f in FIELDS), F.count(F.lit(1)).alias("n_sources"))
+    """Corrected totals by hour: the sum over contributors; n_sources: how many different sources these have."""
+    by_source = state.groupBy("hour_no", "source").agg(*(F.sum(f).alias(f) for f in FIELDS))
+    return by_source.groupBy("hour_no").agg(*(F.sum(f).alias(f) for f in FIELDS), F.count(F.lit(1)).alias("n_sources"))
 
 
 def late_cases(access: DataFrame, events: DataFrame, hosts: DataFrame) -> DataFrame:

@@ -39,9 +39,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_hours(spark: SparkSession, folder: str) -> DataFrame:
-    """Corrected counts and sums by hour of access."""
+    """Corrected counts and sums by hour of access, from the merged states of the batches."""
     t = reader(spark, folder)
-    return late.totals(late.counters(late.timed_access(t("access_log"), t("line_events"), t("log_hosts"))))
+    return late.totals(late.merge(late.counters(late.timed_access(t("access_log"), t("line_events"), t("log_hosts")))))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,3 +44,20 @@ def test_whole_tables(spark, table):
     cases = late.late_cases(table("access_log"), table("line_events"), table("log_hosts"))
     assert cases.count() == rows.where("verdict in ('amend', 'cut')").count() > 0
     assert late.counters(rows.limit(0)).count() == 0
+
+
+def test_states_of_different_rows_add_up(spark, table):
+    schema = "event_id long, hour_no long, file string, batch_no long, verdict string, bytes long, duration double"
+    rows = [(i, i % 3, "f" if i % 5 else None, i // 4, "amend" if i % 7 == 0 else "base", i, i / 8) for i in range(60)]
+    make = lambda keep: late.counters(spark.createDataFrame([r for r in rows if keep(r)], schema))
+    by_hour = lambda state: sorted(map(tuple, late.totals(state).collect()))
+    want = {h: [sum(1 for r in rows if r[1] == h), sum(r[5] for r in rows if r[1] == h)] for h in range(3)}
+    a, b = make(lambda r: r[3] % 2 == 0), make(lambda r: r[3] % 2)
+    assert by_hour(late.merge(a, b)) == by_hour(late.merge(b, a, b)) == by_hour(make(lambda r: True))
+    assert {r["hour_no"]: [r["n"], r["bytes"]] for r in late.totals(late.merge(a, b)).collect()} == want
+    half = make(lambda r: r[3] < 7 or r[0] < 30)  # of batch 7 only a part
+    late_one = spark.createDataFrame([r for r in rows if r[3] >= 7], schema)
+    assert by_hour(late.with_batch(late.with_batch(half, late_one), late_one)) == by_hour(make(lambda r: True))
+    timed = late.timed_access(table("access_log"), table("line_events"), table("log_hosts")).cache()
+    parts = [late.counters(timed.where(F.pmod("batch_no", F.lit(3)) == k)) for k in range(3)]
+    assert by_hour(late.merge(*parts)) == by_hour(late.counters(timed))
