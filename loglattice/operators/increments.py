@@ -68,7 +68,8 @@ class VersionedTable:
 
     ``_log/<n>.json`` names the data folders of version n and the source version it had processed. A commit becomes
     visible by one create-if-absent of its log entry, so output and progress are saved together or not at all: a run
-    that fails before leaves no trace, one that is repeated finds its source version processed and does nothing.
+    that fails before leaves no trace, one that is repeated finds its source version committed and does nothing. Source
+    versions are names: they may be committed in any order.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -92,23 +93,41 @@ class VersionedTable:
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def manifest(self, version: int | None = None) -> dict:
-        """folders: the live data; deleted: folders of row keys that no longer count; processed: the source version."""
+        """folders: the live data; deleted: folders of row keys that no longer count; processed: the source version;
+
+        committed: all source versions up to this one, in order of commit; state: what else belongs to the version.
+        """
         all_versions = self.versions()
-        if not all_versions:
-            return {"version": -1, "folders": [], "deleted": [], "processed": None}
-        return self._read(f"{all_versions[-1] if version is None else version:020d}.json")
+        if not all_versions or version == -1:
+            return {"version": -1, "folders": [], "deleted": [], "processed": None, "committed": [], "state": {}}
+        at = all_versions[-1] if version is None else version
+        entry = {"state": {}} | self._read(f"{at:020d}.json")
+        if "committed" not in entry:  # an entry from before these were listed
+            entry["committed"] = [self._read(f"{v:020d}.json")["processed"] for v in all_versions if v <= at]
+        return entry
+
+    def stage(self, rows: DataFrame, kind: str = "data") -> str:
+        """Writes ``rows`` to a new folder, which belongs to no version until a commit names it."""
+        folder = f"{kind}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        return folder
 
-    def commit(self, rows: DataFrame, processed: str, deleted: DataFrame | None = None) -> bool:
-        """Appends ``rows`` as the output for the source version ``processed``; False if that was committed before."""
+    def commit(self, rows: DataFrame | str, processed: str, deleted: DataFrame | None = None, state: dict | None = None, after: int | None = None) -> bool:
+        """Appends ``rows`` (or a staged folder) as the output for the source version ``processed``.
+
+        False if that was committed before. ``state`` replaces that of the version before. With ``after``, the output
+        was made from that version, and if another run committed since, an error is raised.
+        """
         last = self.manifest()
-        if last["processed"] is not None and processed <= last["processed"]:
+        if after is not None and last["version"] != after:
+            raise RuntimeError(f"version {after + 1} was committed by another run")
+        if processed in last["committed"]:
             return False
-        folder = f"data/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{folder}")
+        folder = rows if isinstance(rows, str) else self.stage(rows)
         entry = {"version": last["version"] + 1, "folders": [*last["folders"], folder], "deleted": list(last["deleted"]), "processed": processed}
+        entry |= {"committed": [*last["committed"], processed], "state": last["state"] if state is None else state}
         if deleted is not None:
-            entry["deleted"].append(gone := f"deleted/{uuid.uuid4().hex}")
-            deleted.write.parquet(f"{self.path}/{gone}")
+            entry["deleted"].append(self.stage(deleted, "deleted"))
         self._publish(entry)
         return True
 

@@ -70,7 +70,10 @@ def bit_at(bitmap: Column, position: Column) -> Column:
 
 
 class SeenMessages:
-    """What has been delivered so far: a dictionary of identifiers and bitmaps of those seen, in one versioned table."""
+    """What has been delivered so far: a dictionary of identifiers and bitmaps of those seen, in one versioned table.
+
+    A delivery adds to both in one commit. Deliveries are known by name; names may come in any order.
+    """
 
     DICTIONARY = "k_a string, k_b long, shard int, code long, first_id long"
     BITS = "shard int, bucket long, bits binary"
@@ -81,50 +84,64 @@ class SeenMessages:
         It may differ between deliveries: an identifier keeps the shard and code it was given first.
         """
         self.spark, self.shards = spark, shards or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.words, self.bits = VersionedTable(spark, f"{path}/words"), VersionedTable(spark, f"{path}/bits")
+        self.table = VersionedTable(spark, path)
+
+    def dictionary(self, version: int | None = None) -> DataFrame:
+        return self.table.read(self.table.manifest(version)["folders"], self.DICTIONARY)
 
-    def dictionary(self) -> DataFrame:
-        return self.words.read(self.words.manifest()["folders"], self.DICTIONARY)
+    def seen(self, version: int | None = None) -> DataFrame:
+        """The bitmaps as of a version, by default the last."""
+        return self.table.read(self.table.manifest(version)["state"].get("bits", []), self.BITS)
 
-    def seen(self) -> DataFrame:
-        """The bitmaps of the last commit; that of the bits is the commit that counts."""
-        folders = self.bits.manifest()["folders"]
-        return self.bits.read(folders[-1:], self.BITS)
+    def before(self, delivery: str) -> tuple[int, bool]:
+        """The version that a delivery builds on, and whether the delivery was committed already."""
+        m = self.table.manifest()
+        done = delivery in m["committed"]
+        return (m["committed"].index(delivery) - 1 if done else m["version"]), done
 
     def deliver(self, keys: DataFrame, delivery: str) -> DataFrame:
-        """Takes (event_id, k_a, k_b) and gives (event_id, keep_id): event_id = keep_id for the one copy that is kept.
+        """Takes (event_id, k_a, k_b) and gives (event_id, keep_id, new): of the rows that are new, event_id = keep_id for the one copy that is kept.
 
         Equal keys meet after a partial aggregation, and one that makes up much of the rows is split by the adaptive
-        skew join. A delivery that was committed before changes nothing, and gives the same result again.
+        skew join. A delivery that was committed before changes nothing, and gives the same result again; if it now has
+        identifiers that it had not then, it is refused with an error.
         """
-        known = self.dictionary()
+        base, done = self.before(delivery)
+        if done:
+            words = self.dictionary(base + 1)
+            if not keys.join(words.select("k_a", "k_b"), ["k_a", "k_b"], "left_anti").isEmpty():
+                raise ValueError(f"delivery {delivery} was committed before, with other messages")
+        else:
+            self._add(keys, delivery, base)
+            words = self.dictionary(base + 1)
+        code = F.col("code")
+        taken = words.select("k_a", "k_b", "first_id", F.lit(True).alias("new"))
+        if base >= 0:
+            old = self.seen(base).withColumnsRenamed({"shard": "o_shard", "bucket": "o_bucket"})
+            at = words.withColumns({"bucket": F.bitmap_bucket_number(code), "bit": F.bitmap_bit_position(code)})
+            at = at.join(old, (F.col("shard") == F.col("o_shard")) & (F.col("bucket") == F.col("o_bucket")), "left")
+            taken = at.select("k_a", "k_b", "first_id", (~F.coalesce(bit_at(F.col("bits"), F.col("bit")), F.lit(False))).alias("new"))
+        return keys.join(taken, ["k_a", "k_b"]).select("event_id", F.col("first_id").alias("keep_id"), "new")
+
+    def _add(self, keys: DataFrame, delivery: str, base: int) -> None:
+        """Commits the identifiers of ``keys`` that version ``base`` has not, and their bits."""
         firsts = keys.groupBy("k_a", "k_b").agg(F.min("event_id").alias("first_id"))
-        fresh_start = not self.words.manifest()["folders"]
-        if not fresh_start:
-            firsts = firsts.join(known.select("k_a", "k_b"), ["k_a", "k_b"], "left_anti")
-        shard = F.pmod(F.xxhash64("k_a", "k_b"), F.lit(self.shards)).cast("int")
-        new = firsts.withColumn("shard", shard)
+        if base >= 0:
+            firsts = firsts.join(self.dictionary(base).select("k_a", "k_b"), ["k_a", "k_b"], "left_anti")
+        new = firsts.withColumn("shard", F.pmod(F.xxhash64("k_a", "k_b"), F.lit(self.shards)).cast("int"))
         rank = F.row_number().over(Window.partitionBy("shard").orderBy("k_a", "k_b")).cast("long") - 1
-        if fresh_start:
+        if base < 0:
             new = new.withColumn("code", rank)
         else:
-            used = known.groupBy("shard").agg((F.max("code") + 1).alias("used"))
+            used = self.dictionary(base).groupBy("shard").agg((F.max("code") + 1).alias("used"))
             new = new.withColumn("rank", rank).join(used, "shard", "left").withColumn("code", F.col("rank") + F.coalesce("used", F.lit(0)))
-        self.words.commit(new.select("k_a", "k_b", "shard", "code", "first_id"), delivery)
-        words = self.dictionary()
+        folder = self.table.stage(new.select("k_a", "k_b", "shard", "code", "first_id"))
         code = F.col("code")
-        unseen = words
-        if not fresh_start:
-            old = self.seen().withColumnsRenamed({"shard": "o_shard"})
-            at = words.withColumns({"bucket": F.bitmap_bucket_number(code), "bit": F.bitmap_bit_position(code)})
-            at = at.join(old.withColumnRenamed("bucket", "o_bucket"), (F.col("shard") == F.col("o_shard")) & (F.col("bucket") == F.col("o_bucket")), "left")
-            unseen = at.withColumn("new", ~F.coalesce(bit_at(F.col("bits"), F.col("bit")), F.lit(False)))
-        bits = words.groupBy("shard", F.bitmap_bucket_number(code).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(code)).alias("bits"))
-        taken = unseen.select("k_a", "k_b", "first_id", *(["new"] if not fresh_start else [F.lit(True).alias("new")]))
-        if not fresh_start:
-            taken = materialise(taken, "taken")
-        self.bits.commit(bits, delivery)
-        return keys.join(taken, ["k_a", "k_b"]).select("event_id", F.col("first_id").alias("keep_id"), "new")
+        added = self.table.read([folder], self.DICTIONARY).groupBy("shard", F.bitmap_bucket_number(code).alias("bucket"))
+        bits = added.agg(F.bitmap_construct_agg(F.bitmap_bit_position(code)).alias("bits"))
+        if base >= 0:
+            bits = bits.unionByName(self.seen(base)).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        self.table.commit(folder, delivery, state={"bits": [self.table.stage(bits, "bits")]}, after=base)
 
 
 def dropped_copies(events: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ class OffsetStore:
         now = F.current_timestamp()
         cols = {"created_at": now, "updated_at": now, "seq": F.lit(seq).cast("long"), "deleted": F.lit(deleted)}
         full = rows.withColumns({k: v for k, v in cols.items()}).select(*[F.col(c.split()[0]) for c in SCHEMA.split(", ")])
-        self.table.commit(full, f"{seq:020d}")
+        if not self.table.commit(full, f"{seq:020d}"):
+            raise RuntimeError(f"offsets {seq} were saved by another run")
 
     def save(self, rows: DataFrame) -> None:
         """Upserts (id, strategy, path, byte_offset)."""

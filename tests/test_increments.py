@@ -44,3 +44,9 @@ def test_commits_are_whole_and_happen_once(spark):
     assert t.changes(1) == {"added": [], "removed": [], "deleted": []}
     with pytest.raises(RuntimeError):
         t._publish({"version": 1, "folders": []})
+
+
+def test_source_versions_need_no_order(spark):
+    t = increments.VersionedTable(spark, work_path(spark, "versions"))
+    assert [t.commit(spark.range(1), v) for v in ("9", "10", "9", "1", "10")] == [True, True, False, True, False]
+    assert t.manifest()["committed"] == ["9", "10", "1"] and t.manifest(1)["processed"] == "10"

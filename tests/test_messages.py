@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from loglattice.operators import messages
@@ -76,3 +77,28 @@ def test_deliveries_keep_one_copy_in_all(spark):
     assert store.seen().agg(F.sum(F.bitmap_count("bits"))).first()[0] == 40
     again = store.deliver(spark.createDataFrame(keys, "event_id long, k_a string, k_b long"), "9").collect()
     assert not any(r["new"] for r in again) and len(again) == 300
+
+
+def test_many_deliveries_and_late_retries(spark, monkeypatch):
+    store, schema = messages.SeenMessages(spark, work_path(spark, "seen"), shards=2), "event_id long, k_a string, k_b long"
+    make = lambda part: spark.createDataFrame([(10 * part + 1, f"k{part}", 0), (10 * part + 2, "all", 0)], schema)
+    kept = lambda df: sorted(r["event_id"] for r in df.collect() if r["new"] and r["event_id"] == r["keep_id"])
+
+    def lost(*args, **kwargs):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:  # delivery 5 fails before its commit
+        m.setattr(store.table, "_publish", lost)
+        with pytest.raises(OSError):
+            store.deliver(make(5), "5")
+    for part in (0, 1, 9, 10, 11, 2):
+        got = store.deliver(make(part), str(part))
+        assert got.count() == 2 and kept(got) == ([1, 2] if part == 0 else [10 * part + 1]), part
+    assert kept(store.deliver(make(5), "5")) == [51]
+    for part in (3, 4, 6, 7, 8, 12):
+        assert kept(store.deliver(make(part), str(part))) == [10 * part + 1]
+    for part in (0, 5, 10):  # a repeated delivery gives the same again
+        assert kept(store.deliver(make(part), str(part))) == ([1, 2] if part == 0 else [10 * part + 1])
+    assert store.dictionary().count() == 14 == store.seen().agg(F.sum(F.bitmap_count("bits"))).first()[0]
+    with pytest.raises(ValueError):
+        store.deliver(make(99), "10")
