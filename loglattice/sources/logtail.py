@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -113,6 +115,25 @@ class _Options:
         cuts = [*range(start, end, self.split), end]
         return [Range(path, file_id, a, b, a == start, b == end) for a, b in zip(cuts, cuts[1:])]
 
+    def whereabouts(self, file_id: str, path: str) -> str | None:
+        """The path at which a file is now that was at ``path``; None if there is no such file any more.
+
+        Looked for in a fresh listing, then beside the old path, where a rotation may have given it a name that is not
+        included. Twice more if not found, as it may be renamed during the listing. An error if it cannot be told.
+        """
+        for wait in (0, 0.1, 0.3):
+            time.sleep(wait)
+            if now := next((f.path for f in self.found() if f.file_id == file_id), None):
+                return now
+            folder = os.path.dirname(path) or "."
+            beside = [os.path.join(folder, n) for n in sorted(os.listdir(folder))] if os.path.isdir(folder) else []
+            for other in filter(os.path.isfile, beside):
+                if identity(other, self.strategy, self.size, self.separator) == file_id:
+                    return other
+        if os.path.exists(path):
+            open(path, "rb").close()
+        return None
+
     def rows(self, part: Range) -> Iterator[tuple]:
         now = identity(part.path, self.strategy, self.size, self.separator)
         if now != part.file_id:
@@ -162,16 +183,26 @@ class _Stream(DataSourceStreamReader):
         for file_id, (path, upto) in end.items():
             begin = start.get(file_id, ["", 0])[1]
             begin = begin if begin <= upto else 0
-            if upto > begin and os.path.exists(path):
+            if upto > begin:
                 out += self.o.ranges(path, file_id, begin, upto)
         return out
 
     def read(self, partition):
-        try:
-            yield from self.o.rows(partition)
-        except (FingerprintMismatch, FileNotFoundError):
-            # rotated away since it was listed: the next listing has it under its new path or identity
-            return
+        """The rows of a range, wherever its file is by now. The batch fails, and its offsets with it, if it cannot be read."""
+        part = partition
+        for _ in range(5):
+            try:
+                # neither error comes after a row was given
+                yield from self.o.rows(part)
+                return
+            except (FingerprintMismatch, FileNotFoundError) as e:
+                error = e
+            path = self.o.whereabouts(part.file_id, part.path)
+            if path is None:
+                print(f"{part.path}: {part.file_id} is gone, bytes {part.start} to {part.end} are lost", file=sys.stderr)
+                return
+            part = Range(path, part.file_id, part.start, part.end, part.first, part.last)
+        raise error
 
     def commit(self, end):
         pass

@@ -117,6 +117,29 @@ def test_stream_resumes_rotates_and_renames(spark, tmp_path):
     assert c.metrics.values["lines_total", ()] == 3 and "loglattice_lines_total 3" in c.metrics.text()
 
 
+def test_stream_ranges_follow_renamed_files(tmp_path, monkeypatch):
+    logs = tmp_path / "logs"
+    os.mkdir(logs)
+    make = lambda **o: logtail._Stream(logtail._Options({"include": str(logs / "*.log*"), "fingerprintStrategy": "checksum", "fingerprintSize": "3"} | o))
+    lines = lambda s, parts: sorted(r[0] for p in parts for r in s.read(p))
+    write(logs / "a.log", b"one\ntwo\n")
+    s = make()
+    end = s.latestOffset()
+    parts = s.partitions({}, end)
+    os.rename(logs / "a.log", logs / "a.log.1")
+    assert lines(s, parts) == lines(s, make().partitions({}, end)) == ["one", "two"]  # renamed after the plan, and before a replay
+    write(logs / "a.log", b"new\n")
+    assert lines(s, parts) == ["one", "two"]  # another file has the path
+    os.rename(logs / "a.log.1", logs / "old")  # a name that is not included
+    assert lines(s, parts) == lines(s, make(splitBytes="3").partitions({}, end)) == ["one", "two"]
+    with monkeypatch.context() as m:  # it is there, but can never be read
+        m.setattr(s.o, "whereabouts", lambda *a: str(logs / "a.log"))
+        with pytest.raises(d.FingerprintMismatch):
+            lines(s, parts)
+    os.remove(logs / "old")
+    assert lines(s, parts) == []  # gone
+
+
 def test_stream_groups_and_flushes_idle_records(spark, tmp_path):
     f = write(tmp_path / "a.log", b"ERROR start\n  detail1\n  detail2\nINFO ok\n  cont\n")
     o = opt.Options()
