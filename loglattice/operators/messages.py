@@ -39,28 +39,43 @@ def _roots(edges: DataFrame) -> DataFrame:
         state = materialise(wider.select("k_a", "k_b", "stamp", F.col("wide").alias("root")), "roots")
 
 
-def message_keys(events: DataFrame) -> DataFrame:
+def _places(events: DataFrame) -> DataFrame:
+    """(event_id, stamp, k_a, k_b): the audit stamp, and the position if the row has both parts of it."""
+    base = events.select("event_id", "file_id", "byte_pos", audit_stamp(F.col("line"), F.col("file")).alias("stamp"))
+    placed = F.col("file_id").isNotNull() & F.col("byte_pos").isNotNull()
+    return base.select("event_id", "stamp", F.when(placed, F.col("file_id")).alias("k_a"), F.when(placed, F.col("byte_pos")).alias("k_b"))
+
+
+def stamp_links(events: DataFrame) -> DataFrame:
+    """The different (stamp, k_a, k_b) of rows with a stamp; the position is null for rows without one."""
+    return _places(events).where(F.col("stamp").isNotNull()).select("stamp", "k_a", "k_b").distinct()
+
+
+def message_keys(events: DataFrame, links: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """(event_id, k_a, k_b): rows with an equal key are copies of one message.
 
     Rows with file_id and byte_pos are known by these. Where either row of a pair lacks them, both are copies if file,
     audit stamp, type and item are equal. A row with neither is a message of its own. Texts and paths need not agree.
+
+    ``links``: the stamp links of these events and of all earlier ones, by default of these alone. ``words``: the
+    (k_a, k_b, first_id) of the messages known before; a message that is one of them under any of its names keeps that key.
     """
-    base = events.select("event_id", "file_id", "byte_pos", audit_stamp(F.col("line"), F.col("file")).alias("stamp"))
-    placed = F.col("file_id").isNotNull() & F.col("byte_pos").isNotNull()
-    base = base.select("event_id", "stamp", F.when(placed, F.col("file_id")).alias("k_a"), F.when(placed, F.col("byte_pos")).alias("k_b"))
-    plain = base.where(F.col("stamp").isNull()).select("event_id", F.coalesce("k_a", F.lit("")).alias("k_a"), F.coalesce("k_b", -F.col("event_id") - 1).alias("k_b"))
-    stamped = base.where(F.col("stamp").isNotNull())
-    pairs = stamped.groupBy("stamp", "k_a", "k_b").agg(F.count(F.lit(1)).alias("n"))
-    lacking = F.max(F.col("k_b").isNull()).over(Window.partitionBy("stamp"))
-    edges = pairs.withColumn("lacking", lacking).where(F.col("lacking") & F.col("k_b").isNotNull())
-    roots = _roots(edges.select("stamp", "k_a", "k_b"))
-    at_pos = roots.groupBy(F.col("k_a").alias("r_a"), F.col("k_b").alias("r_b")).agg(F.min("root").alias("root"))
-    at_stamp = roots.groupBy(F.col("stamp").alias("r_stamp")).agg(F.min("root").alias("root"))
-    there = stamped.where(F.col("k_b").isNotNull()).join(at_pos, (F.col("k_a") == F.col("r_a")) & (F.col("k_b") == F.col("r_b")), "left")
+    links = materialise(stamp_links(events), "links") if links is None else links
+    base = _places(events)
+    lacking = materialise(links.where(F.col("k_b").isNull()).select("stamp").distinct(), "lacking")
+    roots = _roots(links.where(F.col("k_b").isNotNull()).join(lacking, "stamp", "left_semi").distinct())
+    if words is not None:
+        names = roots.select("k_a", "k_b", "root").unionByName(roots.select(F.col("stamp").alias("k_a"), F.lit(-1).cast("long").alias("k_b"), "root")).distinct()
+        known = materialise(words.join(names, ["k_a", "k_b"]).groupBy("root").agg(F.min_by(F.struct("k_a", "k_b"), "first_id").alias("known")), "known")
+        roots = roots.join(known, "root", "left").select("k_a", "k_b", "stamp", F.coalesce("known", "root").alias("root"))
+    at_pos = materialise(roots.groupBy(F.col("k_a").alias("r_a"), F.col("k_b").alias("r_b")).agg(F.min("root").alias("root")), "at_pos")
+    at_stamp = materialise(roots.groupBy(F.col("stamp").alias("r_stamp")).agg(F.min("root").alias("root")), "at_stamp")
+    there = base.where(F.col("k_b").isNotNull()).join(at_pos, (F.col("k_a") == F.col("r_a")) & (F.col("k_b") == F.col("r_b")), "left")
     there = there.select("event_id", F.coalesce("root.k_a", "k_a").alias("k_a"), F.coalesce("root.k_b", "k_b").alias("k_b"))
-    lone = stamped.where(F.col("k_b").isNull()).join(at_stamp, F.col("stamp") == F.col("r_stamp"), "left")
-    lone = lone.select("event_id", F.coalesce("root.k_a", "stamp").alias("k_a"), F.coalesce("root.k_b", F.lit(-1)).alias("k_b"))
-    return plain.unionByName(there).unionByName(lone)
+    lone = base.where(F.col("k_b").isNull()).join(at_stamp, F.col("stamp") == F.col("r_stamp"), "left")
+    alone = F.when(F.col("stamp").isNull(), -F.col("event_id") - 1).otherwise(-1)
+    lone = lone.select("event_id", F.coalesce("root.k_a", "stamp", F.lit("")).alias("k_a"), F.coalesce("root.k_b", alone).alias("k_b"))
+    return there.unionByName(lone)
 
 
 def bit_at(bitmap: Column, position: Column) -> Column:
@@ -70,13 +85,15 @@ def bit_at(bitmap: Column, position: Column) -> Column:
 
 
 class SeenMessages:
-    """What has been delivered so far: a dictionary of identifiers and bitmaps of those seen, in one versioned table.
+    """What has been delivered so far: a dictionary of identifiers, bitmaps of those seen, and links of audit stamps to
+    positions, in one versioned table.
 
-    A delivery adds to both in one commit. Deliveries are known by name; names may come in any order.
+    A delivery adds to all in one commit. Deliveries are known by name; names may come in any order.
     """
 
     DICTIONARY = "k_a string, k_b long, shard int, code long, first_id long"
     BITS = "shard int, bucket long, bits binary"
+    LINKS = "stamp string, k_a string, k_b long"
 
     def __init__(self, spark: SparkSession, path: str, shards: int | None = None):
         """``shards``: how many parts new identifiers are spread over; by default four for each shuffle partition.
@@ -106,13 +123,28 @@ class SeenMessages:
         skew join. A delivery that was committed before changes nothing, and gives the same result again; if it now has
         identifiers that it had not then, it is refused with an error.
         """
+        return self._deliver(keys, delivery, *self.before(delivery), [])
+
+    def deliver_events(self, events: DataFrame, delivery: str) -> DataFrame:
+        """As ``deliver``, for rows of line_events: keys are made from these and from what was delivered before.
+
+        A row without position is a copy of a positioned one of an earlier delivery with its stamp, and the reverse. Two
+        positions that were both kept before a row without position joined them are not taken back.
+        """
         base, done = self.before(delivery)
+        links = self.table.manifest(base + 1 if done else base)["state"].get("links", [])
+        new = [] if done else [self.table.stage(stamp_links(events), "links")]
+        words = self.dictionary(base) if base >= 0 else None
+        keys = message_keys(events, self.table.read([*links, *new], self.LINKS), words)
+        return self._deliver(materialise(keys, "keys"), delivery, base, done, new)
+
+    def _deliver(self, keys: DataFrame, delivery: str, base: int, done: bool, links: list[str]) -> DataFrame:
         if done:
             words = self.dictionary(base + 1)
             if not keys.join(words.select("k_a", "k_b"), ["k_a", "k_b"], "left_anti").isEmpty():
                 raise ValueError(f"delivery {delivery} was committed before, with other messages")
         else:
-            self._add(keys, delivery, base)
+            self._add(keys, delivery, base, links)
             words = self.dictionary(base + 1)
         code = F.col("code")
         taken = words.select("k_a", "k_b", "first_id", F.lit(True).alias("new"))
@@ -123,8 +155,8 @@ class SeenMessages:
             taken = at.select("k_a", "k_b", "first_id", (~F.coalesce(bit_at(F.col("bits"), F.col("bit")), F.lit(False))).alias("new"))
         return keys.join(taken, ["k_a", "k_b"]).select("event_id", F.col("first_id").alias("keep_id"), "new")
 
-    def _add(self, keys: DataFrame, delivery: str, base: int) -> None:
-        """Commits the identifiers of ``keys`` that version ``base`` has not, and their bits."""
+    def _add(self, keys: DataFrame, delivery: str, base: int, links: list[str]) -> None:
+        """Commits the identifiers of ``keys`` that version ``base`` has not, their bits, and staged links."""
         firsts = keys.groupBy("k_a", "k_b").agg(F.min("event_id").alias("first_id"))
         if base >= 0:
             firsts = firsts.join(self.dictionary(base).select("k_a", "k_b"), ["k_a", "k_b"], "left_anti")
@@ -141,7 +173,8 @@ class SeenMessages:
         bits = added.agg(F.bitmap_construct_agg(F.bitmap_bit_position(code)).alias("bits"))
         if base >= 0:
             bits = bits.unionByName(self.seen(base)).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        self.table.commit(folder, delivery, state={"bits": [self.table.stage(bits, "bits")]}, after=base)
+        state = {"bits": [self.table.stage(bits, "bits")], "links": [*self.table.manifest(base)["state"].get("links", []), *links]}
+        self.table.commit(folder, delivery, state=state, after=base)
 
 
 def dropped_copies(events: DataFrame) -> DataFrame:

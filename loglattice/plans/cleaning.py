@@ -60,10 +60,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     """The events in three deliveries by batch number: rows, new messages kept, copies dropped of each."""
     events = reader(spark, folder)("line_events")
-    keys = messages.materialise(messages.message_keys(events).join(events.select("event_id", (F.pmod("batch_no", F.lit(3))).alias("part")), "event_id"), "parts")
     store, out = messages.SeenMessages(spark, work_path(spark, "seen")), None
     for part in range(3):
-        got = store.deliver(keys.where(F.col("part") == part).select("event_id", "k_a", "k_b"), str(part))
+        got = store.deliver_events(events.where(F.pmod("batch_no", F.lit(3)) == part), str(part))
         kept = (F.col("event_id") == F.col("keep_id")) & F.col("new")
         row = got.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n_rows"), F.sum(kept.cast("long")).alias("n_kept"))
         out = row if out is None else out.unionByName(row)

@@ -102,3 +102,24 @@ def test_many_deliveries_and_late_retries(spark, monkeypatch):
     assert store.dictionary().count() == 14 == store.seen().agg(F.sum(F.bitmap_count("bits"))).first()[0]
     with pytest.raises(ValueError):
         store.deliver(make(99), "10")
+
+
+def test_deliveries_know_only_what_came_before(spark):
+    more = [
+        (30, A.format("7.5", 1, 0), "/a", None, None, 0), (31, A.format("7.5", 1, 0), "/a", "a", 300, 0), (32, "spoiled", "/b", "a", 300, 0),
+        (33, A.format("8.5", 1, 0), "/a", "a", 400, 0), (34, A.format("8.5", 1, 0), "/a", "b", 1, 0), (35, A.format("8.5", 1, 0), "/a", None, None, 0), (36, A.format("8.5", 1, 0), "/a", None, None, 0),
+    ]
+    rows, orders = [*ROWS, *more], [lambda e: 0 if e in (30, 33, 34) else 1 if e in (31, 35) or e % 2 else 2, lambda e: (e * 7 + e // 5) % 3]
+    for order in orders:
+        store, before = messages.SeenMessages(spark, work_path(spark, "seen"), shards=2), []
+        for part in range(3):
+            now = [r for r in rows if order(r[0]) == part]
+            first = brute(before + now)  # the rows of a later delivery are not known yet
+            seen = {first[r[0]] for r in before}
+            want = sorted(min(r[0] for r in now if first[r[0]] == c) for c in {first[r[0]] for r in now} - seen)
+            df = spark.createDataFrame(now, EV)
+            for _ in range(1 + (part == 1)):
+                got = store.deliver_events(df, str(part)).collect()
+                assert len(got) == len(now) and sorted(r["event_id"] for r in got if r["new"] and r["event_id"] == r["keep_id"]) == want, part
+            assert all(first[r["keep_id"]] == first[r["event_id"]] for r in got)
+            before += now
