@@ -147,12 +147,10 @@ class SeenMessages:
             self._add(keys, delivery, base, links)
             words = self.dictionary(base + 1)
         code = F.col("code")
-        taken = words.select("k_a", "k_b", "first_id", F.lit(True).alias("new"))
-        if base >= 0:
-            old = self.seen(base).withColumnsRenamed({"shard": "o_shard", "bucket": "o_bucket"})
-            at = words.withColumns({"bucket": F.bitmap_bucket_number(code), "bit": F.bitmap_bit_position(code)})
-            at = at.join(old, (F.col("shard") == F.col("o_shard")) & (F.col("bucket") == F.col("o_bucket")), "left")
-            taken = at.select("k_a", "k_b", "first_id", (~F.coalesce(bit_at(F.col("bits"), F.col("bit")), F.lit(False))).alias("new"))
+        old = self.seen(base).withColumnsRenamed({"shard": "o_shard", "bucket": "o_bucket"})
+        at = words.withColumns({"bucket": F.bitmap_bucket_number(code), "bit": F.bitmap_bit_position(code)})
+        at = at.join(old, (F.col("shard") == F.col("o_shard")) & (F.col("bucket") == F.col("o_bucket")), "left")
+        taken = at.select("k_a", "k_b", "first_id", (~F.coalesce(bit_at(F.col("bits"), F.col("bit")), F.lit(False))).alias("new"))
         return keys.join(taken, ["k_a", "k_b"]).select("event_id", F.col("first_id").alias("keep_id"), "new")
 
     def _add(self, keys: DataFrame, delivery: str, base: int, links: list[str]) -> None:
@@ -182,4 +180,4 @@ def dropped_copies(events: DataFrame) -> DataFrame:
     spark = events.sparkSession
     keys = materialise(message_keys(events), "keys")
     arrivals = SeenMessages(spark, work_path(spark, "seen")).deliver(keys, "0")
-    return arrivals.where(F.col("event_id") != F.col("keep_id")).select("keep_id", F.col("event_id").alias("drop_id"))
+    return arrivals.where(~F.col("new") | (F.col("event_id") != F.col("keep_id"))).select("keep_id", F.col("event_id").alias("drop_id"))

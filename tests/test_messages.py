@@ -123,3 +123,11 @@ def test_deliveries_know_only_what_came_before(spark):
                 assert len(got) == len(now) and sorted(r["event_id"] for r in got if r["new"] and r["event_id"] == r["keep_id"]) == want, part
             assert all(first[r["keep_id"]] == first[r["event_id"]] for r in got)
             before += now
+
+
+def test_a_first_delivery_tests_its_bits(spark, monkeypatch):
+    store, tested = messages.SeenMessages(spark, work_path(spark, "seen"), shards=2), []
+    bit_at = messages.bit_at
+    monkeypatch.setattr(messages, "bit_at", lambda *a: tested.append(1) or bit_at(*a))
+    got = store.deliver(spark.createDataFrame([(1, "a", 0), (2, "a", 0)], "event_id long, k_a string, k_b long"), "0").collect()
+    assert tested and sorted(map(tuple, got)) == [(1, 1, True), (2, 1, True)]
