@@ -15,6 +15,8 @@ KNOWN = (
     "ethernet", "bridge", "firewall", "systemd", "docker", "kvm", "xen",
 )
 _SPACES = r"(?U)\A\s+|\s+\z"
+#: The first and last microsecond of the years 1 to 9999, which every consumer of timestamps can hold.
+CALENDAR_US = (-62_135_596_800_000_000, 253_402_300_799_999_999)
 
 
 def subsystem(message: Column) -> Column:
@@ -28,16 +30,19 @@ def subsystem(message: Column) -> Column:
 def parse(line: Column, boot_time: Column | None = None) -> Column:
     """A struct raw, timestamp, facility, priority, subsystem, message, boot_time, absolute_time; null for blank lines.
 
-    A line of another layout is its own message, at time 0. The absolute time is cut off to microseconds.
+    A line of another layout is its own message, at time 0. A priority whose facility is no 32-bit number counts as 0.
+    The absolute time is cut off to microseconds, and null outside the years 1 to 9999.
     """
     text = F.regexp_replace(line, _SPACES, "")
     part = lambda k: F.regexp_extract(text, LINE, k)
     ours = text.rlike(LINE)
-    prio = F.coalesce(part(1).try_cast("long"), F.lit(0).cast("long"))
+    said = part(1).try_cast("long")
+    prio = F.coalesce(F.when(F.shiftright(said, 3) <= 2**31 - 1, said), F.lit(0).cast("long"))
     seconds = F.coalesce(part(2).try_cast("double"), F.lit(0.0))
     message = F.when(ours, F.regexp_replace(part(3), _SPACES, "")).otherwise(text)
     boot = F.lit(None).cast("timestamp") if boot_time is None else boot_time.cast("timestamp")
-    at = F.timestamp_micros(F.unix_micros(boot) + F.floor(seconds * 1_000_000).cast("long"))
+    at_us = F.try_add(F.unix_micros(boot), F.floor(seconds * 1_000_000).try_cast("long"))
+    at = F.timestamp_micros(F.when(at_us.between(*CALENDAR_US), at_us))
     return F.when(text != "", F.struct(
         text.alias("raw"), F.when(ours, seconds).otherwise(0.0).alias("timestamp"), F.when(ours, F.shiftright(prio, 3)).otherwise(0).cast("int").alias("facility"),
         F.when(ours, prio.bitwiseAND(F.lit(7))).otherwise(0).cast("int").alias("priority"), F.when(ours, subsystem(message)).otherwise("").alias("subsystem"), message.alias("message"),

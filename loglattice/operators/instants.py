@@ -95,6 +95,11 @@ def month_days(y: Column, m: Column) -> Column:
     return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
+def known_zone(df: DataFrame, zone: str) -> Column:
+    """The column ``zone`` where it is a zone that the JVM knows (about 600, bounded by the tz database), else null."""
+    return F.when(F.col(zone).isin(*sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())), F.col(zone))
+
+
 def zone_offset(at_us: Column, zone: Column) -> Column:
     """Microseconds by which a zone is ahead of UTC at an instant."""
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(at_us), zone)) - at_us
@@ -103,22 +108,24 @@ def zone_offset(at_us: Column, zone: Column) -> Column:
 def with_local_instant(df: DataFrame, wall_us: str, zone: str, out: str) -> DataFrame:
     """Adds ``out``: the instant of a wall clock (microseconds as if UTC) in a zone.
 
-    Null for a null wall clock or zone; UNFIXABLE for a time that the zone has twice or never.
+    Null for a null wall clock or a null or unknown zone; UNFIXABLE for a time that the zone has twice or never.
     """
-    o1, o2, hit = fresh([*df.columns, out], "off1", "off2", "hit")
-    w = F.col(wall_us)
-    df = df.withColumns({o1: zone_offset(w - DAY_US, F.col(zone)), o2: zone_offset(w + DAY_US, F.col(zone))})
+    o1, o2, hit, z = fresh([*df.columns, out], "off1", "off2", "hit", "tz")
+    w, tz = F.col(wall_us), F.col(z)
+    df = df.withColumn(z, F.when(w.isNotNull(), known_zone(df, zone)))
+    df = df.withColumns({o1: zone_offset(w - DAY_US, tz), o2: zone_offset(w + DAY_US, tz)})
     a, b = w - F.col(o1), w - F.col(o2)
-    hits = F.when(F.col(o1) == F.col(o2), F.lit(1)).otherwise((zone_offset(a, F.col(zone)) == F.col(o1)).cast("int") + 2 * (zone_offset(b, F.col(zone)) == F.col(o2)).cast("int"))
+    hits = F.when(F.col(o1) == F.col(o2), F.lit(1)).otherwise((zone_offset(a, tz) == F.col(o1)).cast("int") + 2 * (zone_offset(b, tz) == F.col(o2)).cast("int"))
     value = F.when(F.col(hit) == 1, a).when(F.col(hit) == 2, b).otherwise(F.lit(UNFIXABLE))
-    return pinned(pinned(df, hit, hits), out, F.when(w.isNotNull() & F.col(zone).isNotNull(), value).cast("long")).drop(o1, o2, hit)
+    return pinned(pinned(df, hit, hits), out, F.when(tz.isNotNull(), value).cast("long")).drop(o1, o2, hit, z)
 
 
 def with_instant(df: DataFrame, text: str, zone: str, out: str) -> DataFrame:
     """Adds ``out``: the instant of the time in column ``text``, for hosts in the IANA zone of column ``zone``.
 
     Null text gives null; a text of no known layout, with a component out of range, of an unknown zone abbreviation, or
-    a local time without zone or that the zone has twice or never gives UNFIXABLE. Digits past microseconds are cut off.
+    a local time without a known zone or that the zone has twice or never gives UNFIXABLE, as do bare numbers of more
+    than 18 digits (bare numbers count seconds, milliseconds or microseconds). Digits past microseconds are cut off.
     Other columns stay as they are, whatever they are called; equal and repeated rows stay.
     """
     spark: SparkSession = df.sparkSession
@@ -199,8 +206,9 @@ def unlike_times(access: DataFrame, dmesg: DataFrame, audit: DataFrame, events:
     texts = texts.unionByName(kernel)
     texts = with_host_zone(texts.join(lines, texts.event_id == lines.e_id, "left"), hosts, "host_name", "zone")
     texts = with_instant(texts, "txt", "zone", "instant_us").select("src", "event_id", "instant_us")
-    since = dmesg.where(booted).select(F.lit("dmesg").alias("src"), "event_id", (F.unix_micros(F.col("boot_time").cast("timestamp")) + F.round(F.col("boot_secs") * 1e6).cast("long")).alias("instant_us"))
-    odd = F.col("epoch_sec").isNotNull() & (F.col("epoch_sec") != 0) & (F.abs("epoch_sec") >= 100_000_000_000)
+    booted_us = F.try_add(F.unix_micros(F.col("boot_time").cast("timestamp")), F.round(F.col("boot_secs") * 1e6).try_cast("long"))
+    since = dmesg.where(booted).select(F.lit("dmesg").alias("src"), "event_id", F.coalesce(booted_us, F.lit(UNFIXABLE)).cast("long").alias("instant_us"))
+    odd = (F.col("epoch_sec") >= 100_000_000_000) | (F.col("epoch_sec") <= -100_000_000_000)
     stamps = audit.where(odd).select(F.lit("audit").alias("src"), "event_id", F.coalesce(audit_stamp_us(F.col("raw")), F.lit(UNFIXABLE)).cast("long").alias("instant_us"))
     clocks = with_host_zone(events.where(F.col("ts").isNotNull()).select("event_id", "ts", "host_name"), hosts, "host_name", "zone", "mode").where(F.col("mode") == "local")
     clocks = with_arrival_instant(clocks, "ts", "zone", "mode", "instant_us").select(F.lit("line").alias("src"), "event_id", "instant_us")

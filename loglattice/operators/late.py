@@ -43,12 +43,13 @@ def counters(rows: DataFrame, source: str = "file", part: str = "batch_no") -> D
     """Counters of accepted rows by (hour_no, source, part); version: the latest event_id that contributed.
 
     ``part`` is the contributor besides the source: rows of different parts never replace each other in a merge. Partial sums are made before the shuffle, so one source or hour with most of the rows is no hot spot. A null
-    source counts as the source ''. Sums are of whole microseconds, so their order does not matter.
+    source counts as the source ''. Sums are of whole microseconds, so their order does not matter; a duration that is no
+    number or too large for them adds nothing.
     """
     ok = rows.where(F.col("verdict").isin("base", "amend"))
     return ok.groupBy("hour_no", F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(part).alias("part")).agg(
         F.max("event_id").alias("version"), F.count(F.lit(1)).alias("n"), F.sum((F.col("verdict") == "amend").cast("long")).alias("n_amended"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.round(F.col("duration") * 1e6).cast("long")), F.lit(0)).alias("duration_us"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.round(F.col("duration") * 1e6).try_cast("long")), F.lit(0)).alias("duration_us"),
     )
 
 

@@ -104,11 +104,11 @@ class SeenMessages:
         self.table = VersionedTable(spark, path)
 
     def dictionary(self, version: int | None = None) -> DataFrame:
-        return self.table.read(self.table.manifest(version)["folders"], self.DICTIONARY)
+        return self.table.read_folders(self.table.manifest(version)["folders"], self.DICTIONARY)
 
     def seen(self, version: int | None = None) -> DataFrame:
         """The bitmaps as of a version, by default the last."""
-        return self.table.read(self.table.manifest(version)["state"].get("bits", []), self.BITS)
+        return self.table.read_folders(self.table.manifest(version)["state"].get("bits", []), self.BITS)
 
     def before(self, delivery: str) -> tuple[int, bool]:
         """The version that a delivery builds on, and whether the delivery was committed already."""
@@ -135,7 +135,7 @@ class SeenMessages:
         links = self.table.manifest(base + 1 if done else base)["state"].get("links", [])
         new = [] if done else [self.table.stage(stamp_links(events), "links")]
         words = self.dictionary(base) if base >= 0 else None
-        keys = message_keys(events, self.table.read([*links, *new], self.LINKS), words)
+        keys = message_keys(events, self.table.read_folders([*links, *new], self.LINKS), words)
         return self._deliver(materialise(keys, "keys"), delivery, base, done, new)
 
     def _deliver(self, keys: DataFrame, delivery: str, base: int, done: bool, links: list[str]) -> DataFrame:
@@ -167,7 +167,7 @@ class SeenMessages:
             new = new.withColumn("rank", rank).join(used, "shard", "left").withColumn("code", F.col("rank") + F.coalesce("used", F.lit(0)))
         folder = self.table.stage(new.select("k_a", "k_b", "shard", "code", "first_id"))
         code = F.col("code")
-        added = self.table.read([folder], self.DICTIONARY).groupBy("shard", F.bitmap_bucket_number(code).alias("bucket"))
+        added = self.table.read_folders([folder], self.DICTIONARY).groupBy("shard", F.bitmap_bucket_number(code).alias("bucket"))
         bits = added.agg(F.bitmap_construct_agg(F.bitmap_bit_position(code)).alias("bits"))
         if base >= 0:
             bits = bits.unionByName(self.seen(base)).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))

@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_changes(spark: SparkSession, folder: str) -> DataFrame:
     """How many files of the open manifest are of each kind of change, and how many bytes are to read."""
     t = reader(spark, folder)
-    delta = increments.version_delta(increments.open_manifest(t("tracked_files"), t("collect_runs")), increments.processed_ranges(t("stored_offsets"), t("collect_runs")))
+    delta = increments.run_versions(t("tracked_files"), t("stored_offsets"), t("collect_runs")).delta(0)
     return delta.groupBy("change").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.greatest(F.col("file_size") - F.col("start_pos"), F.lit(0))).alias("n_bytes"))
 
 
@@ -49,8 +49,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """The valid rows, with all their columns; status, bytes and duration as numbers."""
     valid = rejects.split_rows(reader(spark, folder)("raw_lines"), "raw")[0]
-    return valid.select("raw_id", "method", "path", F.col("status").try_cast("int").alias("status"), F.col("bytes").try_cast("bigint").alias("n_bytes"))
+    number = lambda name, kind: F.col(name).try_cast(kind)
+    return valid.select("raw_id", F.col("timestamp").alias("access_ts"), "ip", "method", "path", number("status", "int").alias("status"), number("bytes", "bigint").alias("n_bytes"), number("duration", "double").alias("duration"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,7 +116,7 @@ ORACLES: dict[str, str] = {
     "p2_changes": _OPEN + "select case when done_to is null then 'added' when file_size < done_to then 'shrunk' when file_size > done_to then 'grown' else 'same' end change, count(*) n_files, cast(sum(greatest(file_size - coalesce(start_pos, 0), 0)) as bigint) n_bytes from d group by 1",
     "p2_removed": _OPEN + "select id file_id, strategy, done_to from s where not exists (select 1 from m where m.file_id = s.id and m.strategy = s.strategy)",
     "p5_found": _CSV + "select raw_id, reason from v where reason is not null",
-    "p5_valid": _CSV + "select raw_id, nullif(c[3], '') \"method\", nullif(c[4], '') \"path\", try_cast(nullif(c[5], '') as int) status, try_cast(nullif(c[6], '') as bigint) n_bytes from v where reason is null",
+    "p5_valid": _CSV + "select raw_id, nullif(c[1], '') access_ts, nullif(c[2], '') ip, try_cast(nullif(c[7], '') as double) duration, nullif(c[3], '') \"method\", nullif(c[4], '') \"path\", try_cast(nullif(c[5], '') as int) status, try_cast(nullif(c[6], '') as bigint) n_bytes from v where reason is null",
     "p6_found": _KEYS + ", f as (select event_id, min(event_id) over (partition by k) keep_id from k) select keep_id, event_id drop_id from f where event_id <> keep_id",
     "p6_deliveries": _KEYS + ", p as (select event_id, k, batch_no % 3 part from k), f as (select *, row_number() over (partition by k order by part, event_id) rn from p) select cast(part as int) part, count(*) n_rows, cast(sum(cast(rn = 1 as int)) as bigint) n_kept from f group by 1",
 }

@@ -11,18 +11,30 @@ SCHEMA = "id string, strategy string, path string, byte_offset long, created_at
 
 
 class OffsetStore:
-    """Saves are appended as versions of a table in a shared folder; reading merges them, deletions included."""
+    """Saves are appended as versions of a table in a shared folder; reading merges them, deletions included.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.table = spark, VersionedTable(spark, path)
+    After ``most`` saves they are written anew as one. There is one writer.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 32):
+        self.spark, self.table, self.most = spark, VersionedTable(spark, path), most
 
     def _append(self, rows: DataFrame, deleted: bool) -> None:
         seq = self.table.manifest()["version"] + 1
         now = F.current_timestamp()
         cols = {"created_at": now, "updated_at": now, "seq": F.lit(seq).cast("long"), "deleted": F.lit(deleted)}
         full = rows.withColumns({k: v for k, v in cols.items()}).select(*[F.col(c.split()[0]) for c in SCHEMA.split(", ")])
-        if not self.table.commit(full, f"{seq:020d}"):
+        if not self.table.commit(full, str(seq), after=seq - 1, remember=1):
             raise RuntimeError(f"offsets {seq} were saved by another run")
+        if len(self.table.manifest()["folders"]) > self.most:
+            self.compact()
+
+    def compact(self) -> None:
+        """Writes what is stored now as one folder and deletes the older ones; as a commit, so a failure loses nothing."""
+        m = self.table.manifest()
+        rows = self.load().withColumns({"seq": F.lit(m["version"] + 1).cast("long"), "deleted": F.lit(False)})
+        self.table.commit(rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]), str(m["version"] + 1), after=m["version"], replaces=m["folders"], remember=1)
+        self.table.vacuum()
 
     def save(self, rows: DataFrame) -> None:
         """Upserts (id, strategy, path, byte_offset)."""
@@ -34,7 +46,7 @@ class OffsetStore:
 
     def load(self) -> DataFrame:
         """(id, strategy, path, byte_offset, created_at, updated_at): what is stored now."""
-        rows = self.table.read(self.table.manifest()["folders"], SCHEMA)
+        rows = self.table.read_folders(self.table.manifest()["folders"], SCHEMA)
         last = F.max_by(F.struct("path", "byte_offset", "updated_at", "deleted"), "seq").alias("l")
         out = rows.groupBy("id", "strategy").agg(last, F.min("created_at").alias("created_at")).where(~F.col("l.deleted"))
         return out.select("id", "strategy", "l.path", "l.byte_offset", "created_at", "l.updated_at")

@@ -128,3 +128,18 @@ def test_cases(spark, table):
         elif m := re.match(r"(?:<\d+>)?\[([A-Z]\w\w [A-Z]\w\w +\d+ [\d:]+ \d{4})\]", r["raw"]):
             want["dmesg", r["event_id"]] = brute(m[1], zones[events[r["event_id"]]["host_name"]][0])
     assert found == want
+
+
+def test_unknown_zones_and_huge_numbers_cost_only_their_rows(spark):
+    hosts = spark.createDataFrame([("a", "Mars/Base", "local"), ("b", "Europe/Berlin", "local"), ("c", "Factory", "local"), ("d", None, "local")], "host_name string, tz_name string, clock_mode string")
+    at = "timestamp'2024-03-05 10:00:00'"
+    events = spark.createDataFrame([(i, h) for i, h in enumerate("abcd")], "event_id long, host_name string").withColumn("ts", F.expr(at))
+    access = spark.createDataFrame([(0, "2024-03-05 10:00:00"), (1, "2024-03-05 10:00:00"), (2, "2024-03-05T10:00:00+01:00"), (3, "1709632800000000000")], "event_id long, access_ts string")
+    dmesg = spark.createDataFrame([(0, "", 1e300), (1, "", float("nan")), (2, "", 1.5)], "event_id long, raw string, boot_secs double").withColumn("boot_time", F.expr(at))
+    audit = spark.createDataFrame([(0, "type=X msg=audit(1709632800.5:1): a=b", -(2**63)), (1, "type=X", 2**63 - 1), (2, "", None)], "event_id long, raw string, epoch_sec long")
+    found = {(r["src"], r["event_id"]): r["instant_us"] for r in instants.unlike_times(access, dmesg, audit, events, hosts).collect()}
+    nine, ten = 1709629200000000, 1709632800000000
+    assert found == {
+        ("access", 0): -1, ("access", 1): nine, ("access", 2): nine, ("access", 3): -1, ("dmesg", 0): -1, ("dmesg", 2): ten + 1500000, ("dmesg", 1): found["dmesg", 1],
+        ("audit", 0): ten + 500000, ("audit", 1): -1, ("line", 0): -1, ("line", 1): nine, ("line", 2): -1, ("line", 3): -1,
+    }

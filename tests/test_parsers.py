@@ -134,3 +134,12 @@ def test_fingerprints(spark):
     assert one(spark, "small", lambda c: fingerprints.checksum(c, 100)) is None
     assert one(spark, "große", lambda c: fingerprints.checksum(c, 5)) == sha("große".encode()[:5])
     assert one(spark, "x", lambda c: fingerprints.checksum(c, 0)) == sha(b"x") and one(spark, "", lambda c: fingerprints.file_id(c, F.lit("checksum"), 1, "\n")) is None
+
+
+def test_dmesg_numbers_that_overflow(spark):
+    r = one(spark, "<99999999999>[1.0] x", dmesg.parse)
+    assert (r["priority"], r["facility"], r["timestamp"], r["message"]) == (0, 0, 1.0, "x")
+    r = one(spark, "[99999999999999999999.0] x", lambda c: dmesg.parse(c, F.lit(datetime(2023, 12, 1, 10))))
+    assert r["absolute_time"] is None and r["timestamp"] == 1e20 and r["message"] == "x"
+    r = one(spark, "<" + "9" * 40 + ">[" + "9" * 400 + "] x", lambda c: dmesg.parse(c, F.lit(datetime(2023, 12, 1, 10))))
+    assert r["absolute_time"] is None and r["priority"] == 0
