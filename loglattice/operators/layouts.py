@@ -1,9 +1,10 @@
 """Log lines of unlike layouts, and entries of several lines, as entries with time, level, component and message.
 
 A line's shape signature has its character classes collapsed. Each distinct signature is resolved to an extraction rule
-once; the table of rules is joined back (broadcast when Spark measures it as small), and only the rule's own expression
-is run on the line. Lines whose signature starts no entry continue the entry before them in the file: first within
-blocks of a file's bytes, then across blocks by one carried head for each block, so no file is gathered in one task.
+once; the table of rules is measured and broadcast (or, beyond a bound, each line is resolved by itself), and only the
+rule's own expression is run on the line. Lines whose signature starts no entry continue the entry before them in the
+file: first within blocks of a file's bytes, then across blocks by one carried head for each block, so no file is
+gathered in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.session import pinned
+from loglattice.operators.instants import MONTHS, with_host_zone, with_instant
+from loglattice.session import materialise, pinned
 
 # Names of levels, by the level they stand for.
 LEVELS = {
@@ -24,32 +26,50 @@ LEVELS = {
 _WORDS = "|".join(w for ws in LEVELS.values() for w in ws if len(w) > 1)
 #: Rules by name: what a signature looks like, and what extracts (time, level, component, message) from a line.
 RULES = {
-    "glog": (r"\Aa9 9:9:9\.9 9 ", r"\A([DIWEFCN]\d{4} \d\d:\d\d:\d\d(?:\.\d+)?) +\d+ ([^\s:\]]+):\d+\] ?(.*)"),
-    "dashed": (r"\A9-9-9 9:9:9,9 - ", r"\A(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+) - (\S+) - ([A-Za-z]+) - ?(.*)"),
-    "thread": (r"\A9-9-9 9:9:9,9 a \[", r"\A(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+) +([A-Za-z]+) +\[[^\]]*\] (\S+) - ?(.*)"),
-    "bracket": (r"\A\[9-9-9 9:9:9\] ", r"\A\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] (\S+)\.([A-Za-z]+): ?(.*)"),
-    "syslog": (r"\Aa 9 9:9:9 ", r"\A([A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d) (\S+) ([^\s\[\]:]+)(?:\[\d+\])?: ?(.*)"),
+    "glog": (r"\Aa9 9:9:9\.9 9 ", r"\A([DIWEFCN]\d{4} \d\d:\d\d:\d\d(?:\.\d+)?) +\d+ ([^\s:\]]+):\d+\] ?((?s).*)"),
+    "dashed": (r"\A9-9-9 9:9:9,9 - ", r"\A(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+) - (\S+) - ([A-Za-z]+) - ?((?s).*)"),
+    "thread": (r"\A9-9-9 9:9:9,9 a \[", r"\A(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+) +([A-Za-z]+) +\[[^\]]*\] (\S+) - ?((?s).*)"),
+    "bracket": (r"\A\[9-9-9 9:9:9\] ", r"\A\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] (\S+)\.([A-Za-z]+): ?((?s).*)"),
+    "syslog": (r"\Aa 9 9:9:9 ", r"\A([A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d) (\S+) ([^\s\[\]:]+)(?:\[\d+\])?: ?((?s).*)"),
     "pairs": (r"\Aa=", r"\A(?:time|ts|t)=(\S+) .*"),
-    "json": (r"\A\{\"", r"\A\{\".*\}\z"),
+    "json": (r"\A\{\"", r"(?s)\A\{\".*\}\z"),
     "open_json": (r"\A\{ ?\z", r"\A\{\z"),
     "field": (r"\A \"a\": ", r"\A\s+\"(level|lvl|severity|component|logger|module|msg|message|ts|time|timestamp)\": (?:\"(.*)\"|(\d+)),?\z"),
 }
 _QUOTED = r'"(?:[^"\\]|\\.)*+"'
-_KERNEL = r"\A\s*(?:<(\d{1,9})>)?\[\s*([^\]\n]*)\]\s*([^\n]*)"
+_KERNEL = r"\A\s*(?:<(\d+)>)?\[\s*([^\]\n]*)\]\s*((?s).*)"
+#: How many words of a line the rules look at: each shape names its blanks.
+WORDS = 1 + max(shape.count(" ") for shape, _ in RULES.values())
+#: Up to this many bytes of signatures are broadcast.
+RULE_BYTES = 8 << 20
 
 
-def signature(line: Column, words: int = 7) -> Column:
-    """The shape of a line: digits as 9, letters as a, blanks as one; from the given word on, ~ stands for the rest."""
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"[0-9]+", "9"), r"[\p{L}_]+", "a"), r"\s+", " ")
-    return F.regexp_replace(shape, r"\A(\S*(?: \S+){" + str(words - 1) + r"}).+\z", "$1 ~")
+def signature(line: Column) -> Column:
+    """The shape of a line's first words, as many as any rule looks at: digits as 9, letters as a, blanks as one; ~ stands for the rest."""
+    head = F.regexp_extract(line, r"\A\s*+(?:\S++\s*+){0," + str(WORDS) + "}", 0)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"[0-9]+", "9"), r"[\p{L}_]+", "a"), r"\s+", " ")
+    return F.when(F.length(head) < F.length(line), F.concat(shape, F.lit("~"))).otherwise(shape)
 
 
-def resolve(signatures: DataFrame, column: str) -> DataFrame:
-    """Distinct signatures with the rule each leads to; null for those that start no entry."""
+def _rule_of(sig: Column) -> Column:
+    """The rule whose shape a signature has; null for those that start no entry."""
     rule = F.lit(None).cast("string")
     for name, (shape, _) in reversed(RULES.items()):
-        rule = F.when(F.col(column).rlike(shape), F.lit(name)).otherwise(rule)
-    return signatures.select(column).distinct().withColumn("rule", rule)
+        rule = F.when(sig.rlike(shape), F.lit(name)).otherwise(rule)
+    return rule
+
+
+def resolve(signatures: DataFrame, column: str) -> DataFrame:
+    """Distinct signatures with the rule each leads to, without those that start no entry."""
+    return signatures.select(column).distinct().withColumn("rule", _rule_of(F.col(column))).where(F.col("rule").isNotNull())
+
+
+def with_rules(rows: DataFrame, sig: str, rules: DataFrame) -> DataFrame:
+    """Adds ``rule`` to each row: by the table of rules if its measured size allows, else by the row's own signature."""
+    size = rules.agg(F.coalesce(F.sum(F.octet_length(sig) + 16), F.lit(0))).first()[0]
+    if size > RULE_BYTES:
+        return rows.withColumn("rule", _rule_of(F.col(sig)))
+    return rows.join(F.broadcast(rules.withColumnRenamed(sig, "__r_sig")), F.col(sig) == F.col("__r_sig"), "left").drop("__r_sig")
 
 
 def level_of(word: Column) -> Column:
@@ -62,25 +82,40 @@ def level_of(word: Column) -> Column:
 
 def kernel_fields(line: Column) -> dict[str, Column]:
     """Fields of a kernel record; the level comes from the priority, the component is the first word before the colon."""
-    prio = F.regexp_extract(line, _KERNEL, 1).try_cast("int") % 8
+    prio = F.regexp_extract(line, _KERNEL, 1).try_cast("long") % 8
     rest = F.regexp_extract(line, _KERNEL, 3)
     level = F.when(prio <= 2, "FATAL").when(prio == 3, "ERROR").when(prio == 4, "WARN").when(prio <= 6, "INFO").when(prio == 7, "DEBUG").otherwise("")
-    component = F.regexp_extract(rest, r"\A([^\s:\[]+)[^:]*:", 1)
-    message = F.when(component != "", F.regexp_replace(rest, r"\A.*?:(?:\s+|\z)", "")).otherwise(rest)
+    component = F.regexp_extract(rest, r"\A([^\s:\[]+)[^:\n]*:", 1)
+    message = F.when(component != "", F.regexp_replace(rest, r"\A[^\n]*?:(?:[^\S\n]+|(?=\n)|\z)", "")).otherwise(rest)
     return {"lvl": level, "component": component, "time_text": F.regexp_extract(line, _KERNEL, 2), "message": message}
 
 
-def parsed_lines(events: DataFrame) -> DataFrame:
-    """(event_id, file_id, byte_pos, kernel, rule, lvl, component, time_text, message, inner) of log lines.
+def our_lines(events: DataFrame, *more: str) -> DataFrame:
+    """(byte_pos, file_id, event_id, kernel, text) and the columns ``more`` of the kept copies of log lines.
+
+    Of rows equal in file_id and byte_pos the one with the smallest event_id counts. Rows that lack one of these have a
+    null file_id and their event_id as byte_pos. White space at the end of a line is cut off. Copies of one line are
+    united where they are read before they are sent anywhere, so one with a third of all rows is no hot spot.
+    """
+    placed = F.col("file_id").isNotNull() & F.col("byte_pos").isNotNull()
+    ours = events.where(F.col("file").isNotNull() & ~F.contains("file", F.lit(".csv")) & ~F.contains("file", F.lit("audit")))
+    text = F.rtrim(F.coalesce("line", F.lit("")), F.lit(" \t\n\u000b\f\r"))
+    rows = ours.select(
+        F.when(placed, F.col("byte_pos")).otherwise(F.col("event_id")).alias("byte_pos"), F.when(placed, F.col("file_id")).alias("file_id"),
+        "event_id", F.contains("file", F.lit("dmesg")).alias("kernel"), text.alias("text"), *more,
+    )
+    first = F.min_by(F.struct("event_id", "kernel", "text", *more), "event_id").alias("r")
+    return rows.groupBy("byte_pos", "file_id").agg(first).select("byte_pos", "file_id", "r.*")
+
+
+def parsed_lines(lines: DataFrame, rules: DataFrame, texts: bool = True) -> DataFrame:
+    """Lines with rule, lvl, component, inner and, with ``texts``, time_text and message.
 
     rule is null for lines that continue an entry; ``field`` lines belong to an entry opened by a lone brace. Null and
     empty lines continue. Very long lines are read whole.
     """
-    rows = events.select("event_id", "file_id", "byte_pos", F.contains("file", F.lit("dmesg")).alias("kernel"), F.col("line").alias("text"))
-    rows = rows.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+\z", ""))
-    rows = pinned(rows, "sig", F.when(~F.col("kernel"), signature(F.col("text"))))
-    rules = resolve(rows.where("not kernel"), "sig").withColumnRenamed("sig", "r_sig")
-    rows = rows.join(rules, F.col("sig") == F.col("r_sig"), "left")
+    rows = pinned(lines, "sig", F.when(~F.col("kernel"), signature(F.col("text"))))
+    rows = with_rules(rows, "sig", rules)
     t, rule = F.col("text"), F.col("rule")
     ok = F.lit(False)
     for name, (_, pattern) in RULES.items():
@@ -88,7 +123,7 @@ def parsed_lines(events: DataFrame) -> DataFrame:
     rows = pinned(rows, "rule", F.when(F.col("kernel"), F.lit("kernel")).when(ok, rule))
     get = lambda name, k: F.regexp_extract(t, RULES[name][1], k)
     plain = F.regexp_replace(t, _QUOTED, '""')
-    pair = lambda names: F.coalesce(F.nullif(F.regexp_extract(plain, rf'\s(?:{names})=([^\s"]+)', 1), F.lit("")), F.regexp_extract(t, rf'\s(?:{names})="([^"]*)"', 1))
+    pair = lambda names: F.coalesce(F.nullif(F.regexp_extract(plain, rf'\s(?:{names})=([^\s"]+)', 1), F.lit("")), F.replace(F.regexp_extract(t, rf'\s(?:{names})="((?:[^"\\]|\\.)*+)"', 1), F.lit('\\"'), F.lit('"')))
     in_json = lambda *names: F.coalesce(*(F.get_json_object(t, f"$.{n}") for n in names), F.lit(""))
     said = F.regexp_extract(get("syslog", 4), r"\A(?:<(?i:(" + _WORDS + r"))>|\[(?i:(" + _WORDS + r"))\]|(?i:(" + _WORDS + r")):|((?:" + _WORDS.upper() + r"))(?=\s))", 0)
     kernel = kernel_fields(t)
@@ -100,9 +135,10 @@ def parsed_lines(events: DataFrame) -> DataFrame:
         "glog": get("glog", 2), "dashed": get("dashed", 2), "thread": get("thread", 3), "bracket": get("bracket", 2), "syslog": get("syslog", 3),
         "pairs": pair("component|logger|module"), "json": in_json("component", "logger", "module"), "field": F.when(get("field", 1).isin("component", "logger", "module"), get("field", 2)),
     }
+    json_time = in_json("time", "ts", "timestamp")
     time_text = {
         "glog": F.substring(get("glog", 1), 2, 99), "dashed": get("dashed", 1), "thread": get("thread", 1), "bracket": get("bracket", 1), "syslog": get("syslog", 1),
-        "pairs": get("pairs", 1), "json": in_json("time", "ts", "timestamp"), "field": F.when(get("field", 1).isin("time", "ts", "timestamp"), F.coalesce(F.nullif(get("field", 2), F.lit("")), get("field", 3))),
+        "pairs": get("pairs", 1), "json": F.when(json_time.rlike(r"\d[eE]\d+\z"), json_time.try_cast("decimal(30, 6)").cast("string")).otherwise(json_time), "field": F.when(get("field", 1).isin("time", "ts", "timestamp"), F.coalesce(F.nullif(get("field", 2), F.lit("")), get("field", 3))),
     }
     message = {
         "glog": get("glog", 3), "dashed": get("dashed", 4), "thread": get("thread", 4), "bracket": get("bracket", 4), "syslog": F.ltrim(F.substr(get("syslog", 4), F.length(said) + 1)),
@@ -116,48 +152,95 @@ def parsed_lines(events: DataFrame) -> DataFrame:
         return out
 
     inner = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    keep = [c for c in lines.columns if c not in ("kernel", "text")] + (["text"] if texts else [])
+    shown = {"time_text": by_rule(time_text, kernel["time_text"]), "message": by_rule(message, kernel["message"])} if texts else {}
     return rows.select(
-        "event_id", "file_id", "byte_pos", "kernel", "rule", by_rule({k: F.when(v != "", level_of(v)) for k, v in lvl.items()}, kernel["lvl"]).alias("lvl"),
-        by_rule(component, kernel["component"]).alias("component"), by_rule(time_text, kernel["time_text"]).alias("time_text"), by_rule(message, kernel["message"]).alias("message"),
-        F.when(F.col("kernel"), inner).otherwise(1).cast("long").alias("inner"),
+        *keep, "rule", by_rule({k: F.when(v != "", level_of(v)) for k, v in lvl.items()}, kernel["lvl"]).alias("lvl"), by_rule(component, kernel["component"]).alias("component"),
+        F.when(F.col("kernel"), inner).otherwise(1).cast("long").alias("inner"), *(v.alias(k) for k, v in shown.items()),
     )
 
 
-def entries(lines: DataFrame, block_bytes: int = 1 << 20, texts: bool = True) -> DataFrame:
-    """(event_id, n_lines, lvl, component[, time_text, message]) of each entry of parsed lines.
+def entries(lines: DataFrame, block_bytes: int = 1 << 20, more: tuple[str, ...] = ()) -> DataFrame:
+    """(event_id, rule, n_lines, lvl, component[, time_text, message]) and ``more`` of each entry of parsed lines.
+
+    Lines before a file's first entry belong to none. Lines without place in a file are an entry each if they start one.
+    The message is that of the first line and the lines that follow, joined by line feeds; for an entry opened by a lone
+    brace the named field. It has to fit into a task's memory, as any value does.
 
-    Of rows equal in file_id and byte_pos the one with the smallest event_id counts. Lines before a file's first entry
-    belong to none. Rows without place in a file are an entry each if they start one.
+    Lines meet once, by block of their file. Entries that end within a block are whole there; the one that is open at a
+    block's end and the lines before a block's first entry are put together by the heads that blocks hand on.
     """
+    texts = "message" in lines.columns
     fields = ["lvl", "component", *(["time_text", "message"] if texts else [])]
-    here = F.col("file_id").isNotNull() & F.col("byte_pos").isNotNull()
     starts = F.col("rule").isNotNull() & (F.col("rule") != "field")
-    alone = lines.where(~here & starts).select("event_id", F.col("inner").alias("n_lines"), *(F.coalesce(f, F.lit("")).alias(f) for f in fields))
-    placed = lines.where(here).withColumn("block", F.call_function("div", F.col("byte_pos"), F.lit(block_bytes)))
-    row = F.struct("event_id", "rule", "inner", *fields)
-    kept = placed.groupBy("file_id", "block", "byte_pos").agg(F.min_by(row, "event_id").alias("r")).select("file_id", "block", "byte_pos", "r.*")
-    kept = kept.withColumn("head", F.when(starts, F.col("byte_pos")))
-    before = Window.partitionBy("file_id", "block").orderBy("byte_pos").rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.withColumn("head", F.last("head", True).over(before))
+    placed = F.col("file_id").isNotNull()
+    rows = lines.withColumn("block", F.when(placed, F.call_function("div", F.col("byte_pos"), F.lit(block_bytes))).otherwise(F.col("byte_pos")))
+    by_block = Window.partitionBy("block", "file_id")
+    before = by_block.orderBy("byte_pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"head": F.last(F.when(starts, F.col("byte_pos")), True).over(before), "opened": F.last(F.when(starts, F.col("rule")), True).over(before)})
+    rows = rows.withColumn("last_head", F.max("head").over(by_block))
     is_head = F.col("byte_pos") == F.col("head")
-    opened = F.first(F.when(is_head, F.col("rule")), True).over(Window.partitionBy("file_id", "block", "head").orderBy("byte_pos"))
-    kept = kept.withColumn("ours", is_head | ((F.col("rule") == "field") & (F.coalesce(opened, F.lit("open_json")) == "open_json")))
-    filled = lambda f: F.min_by(F.col(f), F.when(F.col(f).isNotNull() & F.col("ours"), F.col("byte_pos")))
-    parts = kept.groupBy("file_id", "block", "head").agg(
-        F.sum("inner").alias("n_lines"), F.min(F.when(is_head, F.col("event_id"))).alias("event_id"), *(filled(f).alias(f) for f in fields)
-    )
-    blocks = parts.groupBy("file_id", "block").agg(F.max("head").alias("last_head"))
+    ours = is_head | ((F.col("rule") == "field") & (F.coalesce("opened", F.lit("open_json")) == "open_json"))
+    filled = lambda f: F.min_by(F.col(f), F.when(F.col(f).isNotNull() & ours, F.col("byte_pos"))).alias(f)
+    follow = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.coalesce(is_head, F.lit(False)), F.struct("byte_pos", "text")))), lambda x: x["text"]), "\n")
+    n_follow = F.sum(F.when(~F.coalesce(is_head, F.lit(False)), 1).otherwise(0))
+    parts = rows.groupBy("block", "file_id", "head").agg(
+        F.max("last_head").alias("last_head"), F.min(F.when(is_head, F.col("rule"))).alias("rule"), F.sum("inner").alias("n_lines"), F.min(F.when(is_head, F.col("event_id"))).alias("event_id"),
+        *(filled(f) for f in fields), *(F.min(F.when(is_head, F.col(c))).alias(c) for c in more), *([F.when(n_follow > 0, follow).alias("follow")] if texts else []),
+    )
+    parts = materialise(parts, "entries")
+    placed = F.col("file_id").isNotNull()
+    edge = parts.where(placed & (F.col("head").isNull() | (F.col("head") == F.col("last_head"))))
+    blocks = edge.groupBy("block", "file_id").agg(F.max("last_head").alias("last_head"))
     carried = F.last("last_head", True).over(Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select(F.col("file_id").alias("b_file"), F.col("block").alias("b_block"), carried.alias("carried"))
-    orphans = parts.where(F.col("head").isNull()).join(blocks, (F.col("file_id") == F.col("b_file")) & (F.col("block") == F.col("b_block")))
-    orphans = orphans.where(F.col("carried").isNotNull()).select("file_id", F.col("carried").alias("head"), "block", "n_lines", "event_id", *fields)
-    whole = parts.where(F.col("head").isNotNull()).select("file_id", "head", "block", "n_lines", "event_id", *fields).unionByName(orphans)
-    first = lambda f: F.min_by(f, F.when(F.col(f).isNotNull(), F.struct("block")))
-    done = whole.groupBy("file_id", "head").agg(F.sum("n_lines").alias("n_lines"), F.min("event_id").alias("event_id"), *(first(f).alias(f) for f in fields))
-    return done.select("event_id", "n_lines", *(F.coalesce(f, F.lit("")).alias(f) for f in fields)).unionByName(alone)
+    edge = edge.join(blocks, (F.col("file_id") == F.col("b_file")) & (F.col("block") == F.col("b_block")))
+    edge = edge.withColumn("first", F.col("head").isNotNull()).withColumn("head", F.coalesce("head", "carried")).where(F.col("head").isNotNull())
+    own = lambda f: F.min(F.when(F.col("first"), F.col(f)))
+    rule = own("rule")
+    found = lambda f: F.when(rule == "open_json", F.min_by(f, F.when(F.col(f).isNotNull(), F.col("block")))).otherwise(own(f)).alias(f)
+    tail = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("follow").isNotNull(), F.struct("block", "follow")))), lambda x: x["follow"]), "\n") if texts else None
+    joined = edge.groupBy("head", "file_id").agg(
+        rule.alias("rule"), F.sum("n_lines").alias("n_lines"), own("event_id").alias("event_id"), *(found(f) for f in fields), *(own(c).alias(c) for c in more),
+        *([F.when(F.count("follow") > 0, tail).alias("follow")] if texts else []),
+    )
+    closed = parts.where(F.col("head").isNotNull() & (~placed | (F.col("head") != F.col("last_head"))))
+    names = ["event_id", "rule", "n_lines", *fields, *more, *(["follow"] if texts else [])]
+    whole = closed.select(*names).unionByName(joined.select(*names))
+    shown = {f: F.coalesce(f, F.lit("")) for f in fields}
+    if texts:
+        shown["message"] = F.when((F.col("rule") == "open_json") | F.col("follow").isNull(), shown["message"]).otherwise(F.concat(shown["message"], F.lit("\n"), F.col("follow")))
+    return whole.select("event_id", "rule", "n_lines", *(v.alias(f) for f, v in shown.items()), *more)
 
 
-def log_entries(events: DataFrame, texts: bool = True) -> DataFrame:
-    """Entries of the application and kernel logs among collected events."""
-    ours = events.where(F.col("file").isNotNull() & ~F.contains("file", F.lit(".csv")) & ~F.contains("file", F.lit("audit")))
-    return entries(parsed_lines(ours), texts=texts)
+def dated(time_text: Column, rule: Column, arrival: Column) -> Column:
+    """The time of an entry in a layout of the instants operator; null without a calendar time.
+
+    Where the layout has no year it is that of the arrival, or the one before if the date would lie more than a day
+    after the arrival; without arrival such times stay as they are, which no layout reads.
+    """
+    limit = arrival + F.expr("interval 1 day")
+    mon, day, clock = (F.regexp_extract(time_text, r"\A([A-Z][a-z]{2}) +(\d{1,2}) (\S+)\z", k) for k in (1, 2, 3))
+    number = F.lpad(F.call_function("div", F.instr(F.lit("".join(MONTHS)), mon) + 2, F.lit(3)).cast("string"), 2, "0")
+    md = F.when(mon != "", F.concat(number, F.lpad(day, 2, "0"))).otherwise(F.substring(time_text, 1, 4))
+    year = F.lpad((F.year(limit) - (md > F.date_format(limit, "MMdd")).cast("int")).cast("string"), 4, "0")
+    yearless = F.when(mon != "", F.concat_ws(" ", day, mon, year, clock)).when(time_text.rlike(r"\A\d{4} \d\d:"), F.concat(year, F.lit("-"), F.substring(md, 1, 2), F.lit("-"), F.substring(md, 3, 2), F.substr(time_text, F.lit(5))))
+    text = F.coalesce(yearless, time_text)
+    return F.when((time_text != "") & ~((rule == "kernel") & ~time_text.rlike(r"\A[A-Z]")), text)
+
+
+def log_entries(events: DataFrame, texts: bool = True, hosts: DataFrame | None = None, block_bytes: int = 1 << 20) -> DataFrame:
+    """(event_id, n_lines, lvl, component[, time_text, message[, instant_us]]) of the application and kernel logs among events.
+
+    instant_us, with ``hosts``, is the time in UTC: null for entries without a calendar time, -1 where it cannot be
+    fixed to one instant. Tables without rows give none; other columns of ``events`` are not passed on.
+    """
+    more = ("host_name", "ts") if texts and hosts is not None else ()
+    texts_of = F.rtrim(F.coalesce("line", F.lit("")), F.lit(" \t\n\u000b\f\r"))
+    ours = events.where(F.col("file").isNotNull() & ~F.contains("file", F.lit(".csv")) & ~F.contains("file", F.lit("audit")) & ~F.contains("file", F.lit("dmesg")))
+    rules = materialise(resolve(ours.select(signature(texts_of).alias("sig")), "sig"), "rules")
+    rows = entries(parsed_lines(our_lines(events, *more), rules, texts), block_bytes, more)
+    if more:
+        rows = with_host_zone(rows.withColumn("__text", dated(F.col("time_text"), F.col("rule"), F.col("ts").cast("timestamp"))), hosts, "host_name", "__zone")
+        rows = with_instant(rows, "__text", "__zone", "instant_us")
+    return rows.select("event_id", "n_lines", "lvl", "component", *(["time_text", "message"] if texts else []), *(["instant_us"] if more else []))

@@ -76,8 +76,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_entries(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries with their time and message texts."""
-    return layouts.log_entries(reader(spark, folder)("line_events"))
+    """Entries with their time as written and as instant, and their whole messages."""
+    t = reader(spark, folder)
+    return layouts.log_entries(t("line_events"), hosts=t("log_hosts"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_changes, p2_removed, p3_found, p3_hours, p5_found, p5_valid, p6_found, p6_deliveries, p7_found, p7_entries)}

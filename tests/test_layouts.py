@@ -1,6 +1,8 @@
 import json
 import re
 
+from pyspark.sql import functions as F
+
 from loglattice.operators import layouts
 
 LV = {**dict.fromkeys(["d", "debug", "trace"], "DEBUG"), **dict.fromkeys(["i", "info", "notice"], "INFO"), **dict.fromkeys(["w", "warn", "warning"], "WARN"), **dict.fromkeys(["e", "err", "error", "severe"], "ERROR"),
@@ -79,9 +81,32 @@ def test_whole_table(spark, table):
 
 
 def test_blocks_do_not_matter(spark, table):
-    lines = layouts.parsed_lines(table("line_events").where("file like '%.log%' and file not like '%audit%'"))
+    lines, hosts = table("line_events").where("file like '%.log%' and file not like '%audit%'"), table("log_hosts")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole = key(layouts.log_entries(lines, hosts=hosts))
+    assert key(layouts.log_entries(lines, hosts=hosts, block_bytes=64)) == whole
+    assert any("\n" in r[5] for r in whole) and any(r[6] is not None for r in whole)
+
+
+def test_rules_beyond_the_bound_are_resolved_by_line(spark, table, monkeypatch):
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(layouts.entries(lines, block_bytes=64)) == key(layouts.entries(lines))
+    before = key(layouts.log_entries(table("line_events"), texts=False))
+    monkeypatch.setattr(layouts, "RULE_BYTES", 0)
+    assert key(layouts.log_entries(table("line_events"), texts=False)) == before
+
+
+def test_times_become_instants(spark):
+    rows = [
+        (1, "Dec 31 23:59:59 h p: x", "2025-01-01 00:00:10", 1735689599000000), (2, "Jan 1 00:00:01 h p: x", "2025-01-01 00:00:10", 1735689601000000), (3, "Jan 2 00:00:01 h p: x", "2025-01-01 00:00:10", 1735776001000000),
+        (4, "I1231 23:59:59.5   7 a.cc:1] x", "2025-01-01 00:00:10", 1735689599500000), (5, "Feb 29 10:00:00 h p: x", "2025-03-01 00:00:00", -1), (6, "Jan 1 00:00:01 h p: x", None, -1),
+        (7, "time=2024-11-01T00:08:40-04:00 level=warn", None, 1730434120000000), (8, '{"ts":1735689599.25,"msg":"a"}', None, 1735689599250000), (9, '{"msg":"no time"}', None, None), (10, "2024-13-05 03:04:07,551 - q - INFO - x", None, -1),
+    ]
+    df = spark.createDataFrame([(i, line, "/a.log", "f", i * 10, "h", ts) for i, line, ts, _ in rows], "event_id long, line string, file string, file_id string, byte_pos long, host_name string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    hosts = spark.createDataFrame([("h", "Etc/UTC", "utc")], "host_name string, tz_name string, clock_mode string")
+    got = {r["event_id"]: r["instant_us"] for r in layouts.log_entries(df, hosts=hosts).collect()}
+    assert got == {i: want for i, _, _, want in rows}
+    kernel = spark.createDataFrame([(1, "[12.5] x", "/dmesg", "k", 0, "h"), (2, "<5>[Sun Oct 13 08:03:43 2024] TCP: y", "/dmesg", "k", 9, "h")], "event_id long, line string, file string, file_id string, byte_pos long, host_name string").withColumn("ts", F.lit(None).cast("timestamp"))
+    assert {r["event_id"]: (r["instant_us"], r["message"]) for r in layouts.log_entries(kernel, hosts=hosts).collect()} == {1: (None, "x"), 2: (1728806623000000, "y")}
 
 
 def test_edges(spark):
@@ -93,6 +118,6 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "event_id long, line string, file string, file_id string, byte_pos long")
     got = {r["event_id"]: (r["n_lines"], r["lvl"], r["component"], r["message"]) for r in layouts.log_entries(df).collect()}
     assert got == {
-        2: (3, "WARN", "q", "hi - there"), 5: (2, "INFO", "prog", "no error"), 7: (2, "", "usb", "a: b"), 8: (1, "ERROR", "", "started"), 10: (1, "INFO", "a_b.cc", "hm"), 12: (1, "", "prog", "warn_limit=1"),
+        2: (3, "WARN", "q", "hi - there\n\n"), 5: (2, "INFO", "prog", "no error\n" + "x" * 200_000), 7: (2, "", "usb", "a: b\n Call 0: x"), 8: (1, "ERROR", "", "started"), 10: (1, "INFO", "a_b.cc", "hm"), 12: (1, "", "prog", "warn_limit=1"),
     }
     assert layouts.log_entries(df.limit(0)).count() == 0
