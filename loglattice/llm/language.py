@@ -211,19 +211,16 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"word": [w for w, _ in counts], "code": [c for _, c in counts], "n": list(counts.values())}, pa.schema([("word", pa.string()), ("code", pa.string()), ("n", pa.int64())]))
 
 
-def _collected(words: DataFrame, vocabulary: int) -> dict[tuple[str, str], int]:
-    """Counts of the most frequent words; at most ``vocabulary`` times the number of languages reach the driver."""
-    counts = words.mapInArrow(_count_words, "word string, code string, n long").groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("code", "n")).alias("by"))
-    top = counts.orderBy(F.desc("total"), "word").limit(vocabulary)
-    out: Counter = Counter()
-    for r in top.select("word", "by").collect():
-        for code, n in r["by"]:
-            out[r["word"], code] += n
-    return out
+def _collected(words: DataFrame) -> dict[tuple[str, str], int]:
+    """The counts of all words; no more of them reach the driver than the sample of documents holds."""
+    counts = words.mapInArrow(_count_words, "word string, code string, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return {(r["word"], r["code"]): r["n"] for r in counts.toLocalIterator()}
+
 
+def fit(documents: DataFrame, sample: int = 6000) -> Model:
+    """A model from about ``sample`` labelled documents, chosen by a hash of doc_id, and all of their words.
 
-def fit(documents: DataFrame, sample: int = 6000, vocabulary: int = 60_000) -> Model:
-    """A model from about ``sample`` labelled documents, chosen by a hash of doc_id, and at most ``vocabulary`` words.
+    ``sample`` is the bound of what reaches the driver and is sent to the executors, whatever the number of documents.
 
     Labels may be wrong and mails mixed, so the counts are made again after the first model has labelled the sample.
     Documents without text or known label are never chosen. With no labelled documents every score is equal.
@@ -240,7 +237,7 @@ def fit(documents: DataFrame, sample: int = 6000, vocabulary: int = 60_000) -> M
             yield pa.RecordBatch.from_arrays([b["code"], pa.array([p[0] for p in pairs], pa.list_(pa.string())), pa.array([p[1] for p in pairs], pa.list_(pa.bool_()))], ["code", "words", "starts"])
 
     words = materialise(known.mapInArrow(split, "code string, words array<string>, starts array<boolean>"), "words")
-    first = fitted(_collected(words, vocabulary))
+    first = fitted(_collected(words))
     model = words.sparkSession.sparkContext.broadcast(first)
 
     def again(batches):
@@ -255,7 +252,7 @@ def fit(documents: DataFrame, sample: int = 6000, vocabulary: int = 60_000) -> M
                     out.append([w for w, p in zip(ws[i], path) if p == k])
             yield pa.RecordBatch.from_pydict({"code": code, "words": out}, pa.schema([("code", pa.string()), ("words", pa.list_(pa.string()))]))
 
-    return fitted(_collected(words.mapInArrow(again, "code string, words array<string>"), vocabulary))
+    return fitted(_collected(words.mapInArrow(again, "code string, words array<string>")))
 
 
 SEGMENTS = "array<struct<lang: string, start: int, n_words: int, confidence: double>>"

@@ -85,34 +85,36 @@ def _plain(markup: str) -> str:
     return html.unescape(_TAG.sub(" ", _BLOCK_TAG.sub("\n", _DROPPED_HTML.sub("\n", markup))))
 
 
-def _parts(text: str, depth: int = 0) -> list[tuple[str, str]]:
-    """(kind, decoded text) of the plain and html parts that are no attachments, in order."""
-    if not depth and (envelope := _ENVELOPE.match(text)):
-        text = text[envelope.end() :]
+def _part(text: str, inner: bool) -> tuple[list[str], tuple[str, str] | None]:
+    """(inner parts of a multipart in order, None), or ([], its kind and decoded text); nothing of an attachment."""
     head, _, body = text.partition("\n\n")
     first = head.lstrip("\n").split("\n", 1)[0]
     if not _HEADER.match(first):
-        if depth and text.startswith("\n"):
-            head, body = "", text[1:]
-        else:
-            head, body = "", text
+        head, body = ("", text[1:]) if inner and text.startswith("\n") else ("", text)
     fields = headers_of(head)
     kind = fields.get("content-type", "text/plain")
     low = kind.lower()
-    if low.startswith("multipart/") and depth < 8:
-        mark = _BOUNDARY.search(kind)
-        if mark:
-            out: list[tuple[str, str]] = []
-            cut = ("\n" + body).split("\n--" + mark.group(1))
-            for part in cut[1:]:
-                if part.startswith("--"):
-                    break
-                out += _parts(part.partition("\n")[2], depth + 1)
-            return out
+    if low.startswith("multipart/") and (mark := _BOUNDARY.search(kind)):
+        cut = ("\n" + body).split("\n--" + mark.group(1))[1:]
+        end = next((k for k, part in enumerate(cut) if part.startswith("--")), len(cut))
+        return [part.partition("\n")[2] for part in cut[:end]], None
     if fields.get("content-disposition", "").lower().startswith("attachment") or not low.startswith("text/"):
-        return []
+        return [], None
     charset = _CHARSET.search(kind)
-    return [(low.split(";")[0].strip(), _decoded(body, fields.get("content-transfer-encoding", ""), charset.group(1) if charset else "utf-8"))]
+    return [], (low.split(";")[0].strip(), _decoded(body, fields.get("content-transfer-encoding", ""), charset.group(1) if charset else "utf-8"))
+
+
+def _parts(text: str) -> list[tuple[str, str]]:
+    """(kind, decoded text) of the plain and html parts that are no attachments, in order, however deep they are nested."""
+    if envelope := _ENVELOPE.match(text):
+        text = text[envelope.end() :]
+    out, waiting = [], [(text, False)]
+    while waiting:
+        inner, found = _part(*waiting.pop())
+        if found:
+            out.append(found)
+        waiting += [(part, True) for part in reversed(inner)]
+    return out
 
 
 def prose_lines(text: str | None) -> list[str]:

@@ -2,7 +2,7 @@
 
 Every document of a source should come out in the same, mostly fractional, number of copies. Whole copies are certain;
 the fractions are rounded by pairs: mass moves at random from one document to the other, weighted by their sizes, until
-one of the two is whole. This keeps each document's expectation and the source's total size, but for one last document.
+one of the two is whole, in rounds over arrays. This keeps each document's expectation and the source's total size, but for one last document.
 Partitions round their own documents and pass one residual for each source up a reduction tree.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,70 +59,80 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: fl
     return Plan({s: sizes.get(s, 0) for s in targets}, wanted, copies)
 
 
-def _coin(a: int, b: int, seed: int) -> float:
-    """A number in [0, 1) from two ids: the same in every attempt of a task."""
-    x = (a * 0x9E3779B97F4A7C15 ^ (b * 0xC2B2AE3D27D4EB4F + seed)) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-    return ((x ^ (x >> 31)) >> 11) / (1 << 53)
+def _coins(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers in [0, 1) from pairs of ids: the same in every attempt of a task."""
+    u = np.uint64
+    x = a.astype(np.int64).view(u) * u(0x9E3779B97F4A7C15) ^ (b.astype(np.int64).view(u) * u(0xC2B2AE3D27D4EB4F) + u(seed))
+    x = (x ^ (x >> u(31))) * u(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+    return ((x ^ (x >> u(31))) >> u(11)).astype(np.float64) / (1 << 53)
 
 
-def pivot(ids: list[int], sizes: list[int], shares: list[float], seed: int = 0) -> tuple[dict[int, int], tuple[int, int, float] | None]:
-    """({position: 0 or 1}, residual): all but at most one position are rounded; residual is (position, size, share).
+def pivot(ids: np.ndarray, sizes: np.ndarray, shares: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
+    """(rounded, share): 0 or 1 for each position, and -1 for the one at most that is left with a fractional share.
 
-    The sum of size times share stays the same, and so does the expectation of each share.
+    Rounds of a tournament: the positions still open are paired, each pair moves mass until one of the two is whole, and
+    the other goes on to the next round. The sum of size times share stays the same, and so does the expectation of
+    each share.
     """
-    done: dict[int, int] = {}
-    i, p = -1, 0.0
-    for j, q in enumerate(shares):
-        if q <= 1e-12 or q >= 1 - 1e-12:
-            done[j] = int(q > 0.5)
-            continue
-        if i < 0:
-            i, p = j, q
-            continue
+    sizes, p = np.asarray(sizes, np.float64), np.array(shares, np.float64)
+    ids, out = np.asarray(ids), np.full(len(p), -1, np.int8)
+    out[p <= 1e-12], out[p >= 1 - 1e-12] = 0, 1
+    at = np.flatnonzero(out < 0)
+    while len(at) > 1:
+        m = len(at) // 2 * 2
+        i, j, odd = at[0:m:2], at[1:m:2], at[m:]
         a, b = sizes[i], sizes[j]
-        up, down = min((1 - p) * a, q * b), min(p * a, (1 - q) * b)
-        move = up if _coin(ids[i], ids[j], seed) * (up + down) < down else -down
-        p, q = p + move / a, q - move / b
-        p, q = (round(p) if min(p, 1 - p) < 1e-9 else p), (round(q) if min(q, 1 - q) < 1e-9 else q)
-        if p in (0, 1):
-            done[i] = int(p)
-            i, p = -1, 0.0
-            if q in (0, 1):
-                done[j] = int(q)
-            else:
-                i, p = j, q
-        else:
-            done[j] = int(q)
-    return done, ((i, sizes[i], p) if i >= 0 else None)
+        fill_i, empty_j, empty_i, fill_j = (1 - p[i]) * a, p[j] * b, p[i] * a, (1 - p[j]) * b
+        up, down = np.minimum(fill_i, empty_j), np.minimum(empty_i, fill_j)
+        rise = _coins(ids[i], ids[j], seed) * (up + down) < down
+        move = np.where(rise, up, -down)
+        i_whole = np.where(rise, fill_i <= empty_j, empty_i <= fill_j)
+        q_i, q_j = p[i] + move / a, p[j] - move / b
+        q_i[i_whole], q_j[~i_whole] = rise[i_whole], ~rise[~i_whole]
+        for k, q, whole in ((i, q_i, i_whole), (j, q_j, ~i_whole)):
+            done = whole | (q < 1e-9) | (q > 1 - 1e-9)
+            out[k[done]] = q[done] > 0.5
+            p[k] = q
+        at = np.concatenate((at[:m][out[at[:m]] < 0], odd))
+    return out, float(p[at[0]]) if len(at) else 0.0
 
 
 _DECIDED = "doc_id long, source string, size long, whole int, extra int, share double"
 
 
+_KIND = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("whole", pa.int32()), ("extra", pa.int32()), ("share", pa.float64())])
+
+
+def _decided(ids, source: str, sizes, whole: int, extra, share) -> pa.RecordBatch:
+    n = len(ids)
+    columns = [pa.array(ids, pa.int64()), pa.array([source] * n, pa.string()), pa.array(sizes, pa.int64()), pa.array(np.full(n, whole), pa.int32()), pa.array(extra, pa.int32()), pa.array(share, pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, schema=_KIND)
+
+
 def _round_partition(copies: dict[str, float], seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, int, float, int]] = {}
-        kind = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("whole", pa.int32()), ("extra", pa.int32()), ("share", pa.float64())])
+        held: dict[str, tuple[int, int, float]] = {}
         for batch in batches:
-            pdf = batch.to_pandas()
-            out = []
-            for source, rows in pdf.groupby("source", sort=True):
-                want = copies[source]
-                whole = int(want + 1e-12)
-                ids, sizes = rows["doc_id"].tolist(), rows["size"].tolist()
-                shares = [want - whole] * len(ids)
+            codes = batch["source"].dictionary_encode()
+            which, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+            all_ids, all_sizes = batch["doc_id"].to_numpy(), batch["size"].to_numpy()
+            for k in sorted(range(len(names)), key=names.__getitem__):
+                source, here = names[k], which == k
+                whole = int(copies[source] + 1e-12)
+                ids, sizes = all_ids[here], all_sizes[here]
+                shares = np.full(len(ids), copies[source] - whole)
                 if source in held:
-                    i, s, p, _ = held.pop(source)
-                    ids.insert(0, i), sizes.insert(0, s), shares.insert(0, p)
-                done, rest = pivot(ids, sizes, shares, seed)
-                out += [(ids[k], source, sizes[k], whole, e, None) for k, e in done.items()]
-                if rest:
-                    held[source] = (ids[rest[0]], rest[1], rest[2], whole)
-            yield pa.RecordBatch.from_pydict({f.name: [r[n] for r in out] for n, f in enumerate(kind)}, kind)
-        rest = [(i, source, s, w, None, p) for source, (i, s, p, w) in sorted(held.items())]
-        yield pa.RecordBatch.from_pydict({f.name: [r[n] for r in rest] for n, f in enumerate(kind)}, kind)
+                    i, size, p = held.pop(source)
+                    ids, sizes, shares = np.concatenate(([i], ids)), np.concatenate(([size], sizes)), np.concatenate(([p], shares))
+                extra, rest = pivot(ids, sizes, shares, seed)
+                if len(open_ := np.flatnonzero(extra < 0)):
+                    held[source] = (int(ids[open_[0]]), int(sizes[open_[0]]), rest)
+                sure = extra >= 0
+                if sure.any():
+                    yield _decided(ids[sure], source, sizes[sure], whole, extra[sure], [None] * int(sure.sum()))
+        for source, (i, size, p) in sorted(held.items()):
+            yield _decided([i], source, [size], int(copies[source] + 1e-12), [None], [p])
 
     return run
 
@@ -129,13 +140,15 @@ def _round_partition(copies: dict[str, float], seed: int):
 def _round_residuals(last: bool, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        done, rest = pivot(pdf["doc_id"].tolist(), pdf["size"].tolist(), pdf["share"].tolist(), seed)
-        extra: list[int | None] = [done.get(k) for k in range(len(pdf))]
+        ids = pdf["doc_id"].to_numpy()
+        out, rest = pivot(ids, pdf["size"].to_numpy(), pdf["share"].to_numpy(np.float64), seed)
+        extra: list[int | None] = [int(x) if x >= 0 else None for x in out]
         share: list[float | None] = [None] * len(pdf)
-        if rest and last:
-            extra[rest[0]] = int(_coin(int(pdf["doc_id"][rest[0]]), 1, seed) < rest[2])
-        elif rest:
-            share[rest[0]] = rest[2]
+        for k in np.flatnonzero(out < 0):
+            if last:
+                extra[k] = int(_coins(ids[k : k + 1], np.ones(1, np.int64), seed)[0] < rest)
+            else:
+                share[k] = rest
         return pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "size": pdf["size"], "whole": pdf["whole"].astype("int32"), "extra": pd.array(extra, "Int32"), "share": pd.array(share, "Float64")})
 
     return run

@@ -20,6 +20,16 @@ from pyspark.sql import functions as F
 from loglattice.session import ship
 
 
+def section_size(error: float) -> int:
+    """The section size ``k`` for a rank error of at most this part of the number of values above, an even number.
+
+    0.05 gives 32. The error of a quantile shrinks in proportion with k; the size of a sketch grows with it.
+    """
+    if not 0 < error < 1:
+        raise ValueError("the error must lie between 0 and 1")
+    return 2 * max(2, int(np.ceil(0.8 / error - 1e-9)))
+
+
 class Sketch:
     """Relative-rank compactors for float values. ``k`` is the size of a section, an even number.
 
@@ -35,7 +45,7 @@ class Sketch:
     def _capacity(self, level: int) -> int:
         """Sections double in number as a level's compactions grow by the square, so early values lose no protection."""
         sections = 3
-        while self.rounds[level] >= 1 << (sections - 1) and sections < 24:
+        while self.rounds[level] >= 1 << (sections - 1):
             sections *= 2
         return 2 * self.k * sections
 
@@ -218,6 +228,24 @@ def combined(daily: DataFrame) -> DataFrame:
     return _merged(_merged(salted, ["grp", "salt"]), ["grp"])
 
 
+def within_bound(values: DataFrame, estimates: DataFrame, group: str, value: str, at: dict[str, float], error: float) -> DataFrame:
+    """(group, n, within): whether all estimates of a group hold the error bound against the exact ranks of its values.
+
+    ``estimates`` has a row for each group, by ``percentiles``. Ranks are counts of values below and up to an estimate,
+    so a group with most of the rows is summed up where it is read. Null values and NaN count for nothing.
+    """
+    some = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v"))
+    both = some.join(estimates.select(F.col("grp").alias("__grp"), *at), F.col("__g") == F.col("__grp"))
+    ranks = [f(F.when(test, 1).otherwise(0)).alias(f"{x}_{name}") for x in at for name, f, test in (("low", F.sum, F.col("__v") < F.col(x)), ("high", F.sum, F.col("__v") <= F.col(x)))]
+    sums = both.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), *ranks)
+    ok = F.lit(True)
+    for x, q in at.items():
+        want, low, high = F.ceil(q * F.col("n")), F.col(f"{x}_low"), F.col(f"{x}_high")
+        miss = F.when((low < want) & (want <= high), 0).otherwise(F.least(F.abs(low + 1 - want), F.abs(high - want)))
+        ok = ok & (miss <= error * F.greatest(F.col("n") - want, F.lit(0)) + 1)
+    return sums.select(F.col("__g").alias(group), "n", ok.alias("within"))
+
+
 def percentiles(sketches: DataFrame, at: dict[str, float], keep: tuple[str, ...] = ("grp",)) -> DataFrame:
     """The columns ``keep``, n (values seen), and one column for each named quantile."""
     ship(sketches.sparkSession)

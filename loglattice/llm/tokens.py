@@ -346,3 +346,25 @@ def token_counts(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder:
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), *others, F.col(text).alias("text"))
     out = rows.mapInArrow(_encoder(f"{folder}/{vocabulary}.tiktoken", group_chars, True), "doc_id long, " + "kept string, " * bool(keep) + "n_tokens long")
     return out.withColumnRenamed("kept", keep) if keep else out
+
+
+def _decoder(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = {int(b): base64.b64decode(a) for a, b in (line.split() for line in open(path, "rb") if line.strip())}
+        table = [ranks.get(k, b"") for k in range(max(ranks) + 1)]
+        width = np.array([len(w) for w in table], np.int64)
+        for batch in batches:
+            ids = batch["ids"]
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            at = np.concatenate(([0], np.cumsum(width[flat])))[ends]
+            data = b"".join(map(table.__getitem__, flat.tolist()))
+            column = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], column.cast(pa.binary())], ["doc_id", "data"])
+
+    return run
+
+
+def decoded(ids: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """(doc_id, data): the bytes that lists of ids stand for; empty for empty and null lists."""
+    ship(ids.sparkSession)
+    return ids.select("doc_id", "ids").mapInArrow(_decoder(f"{folder}/{vocabulary}.tiktoken"), "doc_id long, data binary")

@@ -87,3 +87,19 @@ def test_held_out_labels(spark):
     right = known.where(F.col("label") == F.col("l")[0]).count()
     assert right / known.count() > 0.85  # about a tenth of the labels is wrong
     assert language.fit(docs.limit(0)).row("house").max() == 0
+
+
+def test_mails_nested_in_mails():
+    text = "Content-Type: text/plain\n\n" + EN + "\n"
+    for k in range(300):
+        text = f"Content-Type: multipart/mixed; boundary=\"=_{k}_\"\n\n--=_{k}_\n{text}\n--=_{k}_--\n"
+    assert [x for x in mails.prose_lines("From: A\n" + text) if x.strip()] == [EN]
+
+
+def test_all_words_of_the_sample_count(spark):
+    """A model of more words than any list of the most frequent ones would keep."""
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: "".join(letters[(i // 20**k) % 20] for k in range(4))
+    rows = [(n, " ".join(word(i) for i in range(n * 1000, n * 1000 + 1000)), "en" if n % 2 else "de") for n in range(70)]
+    fitted = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=1000)
+    assert len(fitted.words) == 70_000

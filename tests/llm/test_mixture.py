@@ -1,5 +1,9 @@
 from collections import defaultdict
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from loglattice.llm import mixture
 
 TARGETS = "source_name string, target_share double, max_repeats int"
@@ -15,18 +19,27 @@ def test_plan():
 
 
 def test_pivot_keeps_size_and_expectation():
-    ids, sizes, shares = list(range(101)), [1 + (7 * i) % 13 for i in range(101)], [0.37] * 101
-    hits = [0.0] * 101
+    ids, sizes, shares = np.arange(101), np.array([1 + (7 * i) % 13 for i in range(101)]), np.full(101, 0.37)
+    hits = np.zeros(101)
     for seed in range(400):
-        done, rest = mixture.pivot(ids, sizes, shares, seed)
-        size = sum(sizes[k] * v for k, v in done.items()) + (rest[1] * rest[2] if rest else 0)
-        assert abs(size - 0.37 * sum(sizes)) < 1e-6 and len(done) + bool(rest) == 101
-        for k, v in done.items():
-            hits[k] += v
-        if rest:
-            hits[rest[0]] += rest[2]
-    assert all(0.25 < h / 400 < 0.49 for h in hits)
-    assert mixture.pivot([], [], []) == ({}, None) and mixture.pivot([1, 2], [5, 5], [0.0, 1.0]) == ({0: 0, 1: 1}, None)
+        out, rest = mixture.pivot(ids, sizes, shares, seed)
+        got = np.where(out < 0, rest, out)
+        assert abs((got * sizes).sum() - 0.37 * sizes.sum()) < 1e-6 and (out < 0).sum() <= 1 and set(out.tolist()) <= {-1, 0, 1}
+        hits += got
+    assert ((hits / 400 > 0.25) & (hits / 400 < 0.49)).all()
+    assert [x.tolist() for x in mixture.pivot([], [], [])[:1]] == [[]]
+    out, rest = mixture.pivot([1, 2, -5], [5, 5, 9], [0.0, 1.0, 0.25])
+    assert out.tolist() == [0, 1, -1] and rest == 0.25
+
+
+@given(st.lists(st.tuples(st.integers(-(2**62), 2**62), st.integers(1, 10**9), st.floats(0, 1)), max_size=60), st.integers(0, 99))
+@settings(max_examples=200, deadline=None)
+def test_pivot_of_any_shares(rows, seed):
+    ids, sizes, shares = (np.array([r[k] for r in rows], t) for k, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
+    out, rest = mixture.pivot(ids, sizes, shares, seed)
+    assert (out < 0).sum() <= 1 and 0 <= rest <= 1
+    got = np.where(out < 0, rest, out).astype(float)
+    assert abs((got * sizes).sum() - (shares * sizes).sum()) <= 1e-6 * max(1, sizes.sum())
 
 
 def rows(spark):

@@ -71,3 +71,23 @@ def test_groups(spark):
     both = {r["grp"]: r for r in quantiles.percentiles(quantiles.combined(daily), {"p50": 0.5, "p99": 0.99}).collect()}
     assert both["a"]["n"] == 4000 and abs(both["a"]["p50"] - 1000) < 30 and abs(both["a"]["p99"] - 1980) < 5 and both["b"]["p50"] == 7.0
     assert quantiles.percentiles(quantiles.combined(quantiles.daily_sketches(df.limit(0), "g", "day", "v")), {"p50": 0.5}).count() == 0
+
+
+def test_the_error_is_a_parameter(spark):
+    assert [quantiles.section_size(e) for e in (0.05, 0.1, 0.01)] == [32, 16, 160]
+    with pytest.raises(ValueError):
+        quantiles.section_size(0)
+    rng = np.random.default_rng(3)
+    values = rng.lognormal(0, 2, 100_000)
+    for error in (0.1, 0.02):
+        s = Sketch(quantiles.section_size(error))
+        for part in np.array_split(values, 31):
+            s.update(part)
+        assert max(rank_error(values, s, q) for q in (0.25, 0.5, 0.9, 0.99, 0.999)) < error
+    rows = [("a", float(v)) for v in values[:5000]] + [("b", 1.0), ("b", None), ("b", float("nan")), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").selectExpr("coalesce(g, '') g", "v", "1L day").repartition(3)
+    at = {"p50": 0.5, "p99": 0.99}
+    estimates = quantiles.percentiles(quantiles.combined(quantiles.daily_sketches(df, "g", "day", "v")), at)
+    assert {r["g"]: (r["n"], r["within"]) for r in quantiles.within_bound(df, estimates, "g", "v", at, 0.05).collect()} == {"a": (5000, True), "b": (1, True), "": (1, True)}
+    wrong = estimates.selectExpr("grp", "n", "p50 * 3 + 1 p50", "p99")
+    assert not any(r["within"] for r in quantiles.within_bound(df, wrong, "g", "v", at, 0.05).where("g = 'a'").collect())

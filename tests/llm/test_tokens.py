@@ -74,3 +74,11 @@ def test_merges_of_equal_tokens_do_not_overlap(merges):
     assert len(ends) == 13 and ends[0] == 0 and ends[12] == len(ids)
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:12])] == want(["a" * n for n in range(1, 12)])
     assert np.array_equal(merges.replay([])[0], np.zeros(0))
+
+
+def test_ids_decode_to_the_text(spark):
+    texts = ["Hello  world\r\n", "", None, "é漢字🙂\u0000", " " * 500, "a" * 5000, "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["data"]).decode() for r in tokens.decoded(tokens.encoded(df)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+    assert tokens.decoded(tokens.encoded(df.limit(0))).count() == 0
