@@ -113,6 +113,7 @@ ORACLES: dict[str, str] = {
     "p3_found": times_sql.P3_FOUND,
     "p3_hours": times_sql.P3_HOURS,
     "p7_found": layouts_sql.P7_FOUND,
+    "p7_entries": layouts_sql.entries_sql(times_sql.texts),
     "p2_found": _OPEN + "select listing_id, start_pos from (select listing_id, file_size, coalesce(start_pos, 0) start_pos from d) where file_size > start_pos",
     "p2_changes": _OPEN + "select case when done_to is null then 'added' when file_size < done_to then 'shrunk' when file_size > done_to then 'grown' else 'same' end change, count(*) n_files, cast(sum(greatest(file_size - coalesce(start_pos, 0), 0)) as bigint) n_bytes from d group by 1",
     "p2_removed": _OPEN + "select id file_id, strategy, done_to from s where not exists (select 1 from m where m.file_id = s.id and m.strategy = s.strategy)",

@@ -34,7 +34,7 @@ _MAIL, _CLF, _CTIME = rf"^(?:{_DOW}, ?)?(\d\d?) {_MON} (\d{{4}}) (\d\d:.*)$", rf
 _ISO = r"^(\d{4})-(\d\d)-(\d\d)[Tt ](\d\d):(\d\d):(\d\d)(?:[.,](\d+))?(?: ?([AaPp][Mm]))?(?: ?([Zz]|[A-Z]{2,5}|[+-]\d\d:?\d\d))?(?:\[[\w/+-]+\])?$"
 
 
-def _texts(rows: str) -> str:
+def texts(rows: str) -> str:
     """CTEs up to ``fixed`` (event_id, src, us) for rows (event_id, src, txt, tz_name)."""
     us = "try_cast(left(rpad({}, 6, '0'), 6) as bigint)"
     return rf"""x1 as (select *, regexp_replace(txt, '^\s+|\s+$', '', 'g') x from {rows}),
@@ -62,12 +62,12 @@ _RAW_TIME = r"^(?:<\d+>)?\[([A-Z][a-z]{2} [A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d
 P1_FOUND = f"""with {_HOSTED}, {_CLOCKS},
 t as (select event_id, 'access' src, access_ts txt, tz_name from access_log left join h using (event_id) where access_ts is not null and not regexp_matches(access_ts, '{_RFC_Z}')
  union all select event_id, 'dmesg', regexp_extract(raw, '{_RAW_TIME}', 1), tz_name from dmesg_records left join h using (event_id) where (boot_time is null or boot_secs is null) and regexp_matches(raw, '{_RAW_TIME}')),
-{_texts('t')}
+{texts('t')}
 select src, event_id, us instant_us from fixed union all select 'line', event_id, instant from clocks
 union all select 'audit', event_id, try_cast(regexp_extract(raw, '{_STAMP}', 1) as bigint) * 1000000 + try_cast(left(rpad(regexp_extract(raw, '{_STAMP}', 2), 6, '0'), 6) as bigint) from audit_records where abs(epoch_sec) >= 100000000000
 union all select 'dmesg', event_id, epoch_us(boot_time) + try_cast(round(boot_secs * 1000000) as bigint) from dmesg_records where boot_time is not null and boot_secs is not null"""
 
-_TIMED = f"""with {_HOSTED}, {_CLOCKS}, t as (select event_id, 'access' src, access_ts txt, tz_name from access_log left join h using (event_id) where access_ts is not null), {_texts('t')},
+_TIMED = f"""with {_HOSTED}, {_CLOCKS}, t as (select event_id, 'access' src, access_ts txt, tz_name from access_log left join h using (event_id) where access_ts is not null), {texts('t')},
 v as (select fixed.event_id, fixed.us, fixed.us // 3600000000 hour_no, (case when clock_mode = 'local' then clocks.instant else epoch_us(ts) end) arrival from fixed join h using (event_id) left join clocks on clocks.event_id = fixed.event_id where us <> -1),
 w as (select event_id, hour_no, arrival - (hour_no + 1) * 3600000000 late from v where arrival is not null and arrival <> -1),
 verdicts as (select event_id, hour_no, case when late < 0 then 'base' when late < 21600000000 then 'amend' else 'cut' end verdict from w)
