@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.operators.instants import MONTHS, with_host_zone, with_instant
-from loglattice.session import materialise, pinned
+from loglattice.session import fresh, materialise, pinned
 
 # Names of levels, by the level they stand for.
 LEVELS = {
@@ -24,31 +24,41 @@ LEVELS = {
     "FATAL": ("f", "c", "fatal", "crit", "critical", "panic", "emerg", "alert"),
 }
 _WORDS = "|".join(w for ws in LEVELS.values() for w in ws if len(w) > 1)
-#: Rules by name: what a signature looks like, and what extracts (time, level, component, message) from a line.
+#: Rules by name: what a signature looks like, and what extracts the parts of a line.
 RULES = {
-    "glog": (r"\Aa9 9:9:9\.9 9 ", r"\A([DIWEFCN]\d{4} \d\d:\d\d:\d\d(?:\.\d+)?) +\d+ ([^\s:\]]+):\d+\] ?((?s).*)"),
+    "glog": (r"\Aa9 9:9:9\.9 9 ", r"\A([DIWEFCN])(\d{4} \d\d:\d\d:\d\d(?:\.\d+)?) +\d+ ([^\s:\]]+):\d+\] ?((?s).*)"),
     "dashed": (r"\A9-9-9 9:9:9,9 - ", r"\A(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+) - (\S+) - ([A-Za-z]+) - ?((?s).*)"),
     "thread": (r"\A9-9-9 9:9:9,9 a \[", r"\A(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+) +([A-Za-z]+) +\[[^\]]*\] (\S+) - ?((?s).*)"),
     "bracket": (r"\A\[9-9-9 9:9:9\] ", r"\A\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] (\S+)\.([A-Za-z]+): ?((?s).*)"),
-    "syslog": (r"\Aa 9 9:9:9 ", r"\A([A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d) (\S+) ([^\s\[\]:]+)(?:\[\d+\])?: ?((?s).*)"),
+    "syslog": (r"\Aa 9 9:9:9 ", r"\A([A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d) \S+ ([^\s\[\]:]+)(?:\[\d+\])?: ?((?s).*)"),
     "pairs": (r"\Aa=", r"\A(?:time|ts|t)=(\S+) .*"),
     "json": (r"\A\{\"", r"(?s)\A\{\".*\}\z"),
     "open_json": (r"\A\{ ?\z", r"\A\{\z"),
     "field": (r"\A \"a\": ", r"\A\s+\"(level|lvl|severity|component|logger|module|msg|message|ts|time|timestamp)\": (?:\"(.*)\"|(\d+)),?\z"),
 }
+#: The groups of an expression for level, time, component and message; 0 for none.
+GROUPS = {"kernel": (1, 2, 3, 4), "glog": (1, 2, 3, 4), "dashed": (3, 1, 2, 4), "thread": (2, 1, 3, 4), "bracket": (3, 1, 2, 4), "syslog": (0, 1, 2, 3)}
+#: Names of fields for level, time, component and message.
+FIELDS = (("level", "lvl", "severity"), ("time", "ts", "timestamp"), ("component", "logger", "module"), ("msg", "message"))
+_SEP = "\u0001\u0002"
 _QUOTED = r'"(?:[^"\\]|\\.)*+"'
-_KERNEL = r"\A\s*(?:<(\d+)>)?\[\s*([^\]\n]*)\]\s*((?s).*)"
+#: A kernel record: priority, time, the first word before a colon (if its first line has one), and what follows the time.
+_KERNEL = r"\A\s*(?:<(\d+)>)?\[\s*([^\]\n]*)\]\s*+(?:(?=([^\s:\[]+)[^:\n]*+:))?((?s).*)"
 #: How many words of a line the rules look at: each shape names its blanks.
 WORDS = 1 + max(shape.count(" ") for shape, _ in RULES.values())
 #: Up to this many bytes of signatures are broadcast.
 RULE_BYTES = 8 << 20
 
 
-def signature(line: Column) -> Column:
-    """The shape of a line's first words, as many as any rule looks at: digits as 9, letters as a, blanks as one; ~ stands for the rest."""
-    head = F.regexp_extract(line, r"\A\s*+(?:\S++\s*+){0," + str(WORDS) + "}", 0)
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"[0-9]+", "9"), r"[\p{L}_]+", "a"), r"\s+", " ")
-    return F.when(F.length(head) < F.length(line), F.concat(shape, F.lit("~"))).otherwise(shape)
+def with_signature(rows: DataFrame, line: Column, out: str) -> DataFrame:
+    """Adds the shape of a line's first words, as many as any rule looks at: digits as 9, letters as a, blanks as one.
+
+    ~ stands for the rest of the line. A null line has a null shape.
+    """
+    h, t = fresh([*rows.columns, out], "head", "line")
+    rows = pinned(pinned(rows, t, line), h, F.regexp_extract(t, r"\A\s*+(?:\S++\s*+){0," + str(WORDS) + "}", 0))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(h, r"[0-9]+", "9"), r"[\p{L}_]+", "a"), r"\s+", " ")
+    return pinned(rows, out, F.concat(shape, F.when(F.length(h) < F.length(t), "~").otherwise(""))).drop(h, t)
 
 
 def _rule_of(sig: Column) -> Column:
@@ -60,8 +70,12 @@ def _rule_of(sig: Column) -> Column:
 
 
 def resolve(signatures: DataFrame, column: str) -> DataFrame:
-    """Distinct signatures with the rule each leads to, without those that start no entry."""
-    return signatures.select(column).distinct().withColumn("rule", _rule_of(F.col(column))).where(F.col("rule").isNotNull())
+    """Distinct signatures with the rule each leads to, without those that start no entry.
+
+    Written before the rules are tried, so that these are tried once a signature and not once a line.
+    """
+    distinct = materialise(signatures.select(column).where(F.col(column).isNotNull()).distinct(), "signatures")
+    return distinct.withColumn("rule", _rule_of(F.col(column))).where(F.col("rule").isNotNull())
 
 
 def with_rules(rows: DataFrame, sig: str, rules: DataFrame) -> DataFrame:
@@ -80,14 +94,12 @@ def level_of(word: Column) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
-def kernel_fields(line: Column) -> dict[str, Column]:
-    """Fields of a kernel record; the level comes from the priority, the component is the first word before the colon."""
-    prio = F.regexp_extract(line, _KERNEL, 1).try_cast("long") % 8
-    rest = F.regexp_extract(line, _KERNEL, 3)
-    level = F.when(prio <= 2, "FATAL").when(prio == 3, "ERROR").when(prio == 4, "WARN").when(prio <= 6, "INFO").when(prio == 7, "DEBUG").otherwise("")
-    component = F.regexp_extract(rest, r"\A([^\s:\[]+)[^:\n]*:", 1)
-    message = F.when(component != "", F.regexp_replace(rest, r"\A[^\n]*?:(?:[^\S\n]+|(?=\n)|\z)", "")).otherwise(rest)
-    return {"lvl": level, "component": component, "time_text": F.regexp_extract(line, _KERNEL, 2), "message": message}
+def _ours(events: DataFrame) -> DataFrame:
+    return events.where(F.col("file").isNotNull() & ~F.contains("file", F.lit(".csv")) & ~F.contains("file", F.lit("audit")))
+
+
+def _text() -> Column:
+    return F.rtrim(F.coalesce("line", F.lit("")), F.lit(" \t\n\u000b\f\r"))
 
 
 def our_lines(events: DataFrame, *more: str) -> DataFrame:
@@ -98,11 +110,9 @@ def our_lines(events: DataFrame, *more: str) -> DataFrame:
     united where they are read before they are sent anywhere, so one with a third of all rows is no hot spot.
     """
     placed = F.col("file_id").isNotNull() & F.col("byte_pos").isNotNull()
-    ours = events.where(F.col("file").isNotNull() & ~F.contains("file", F.lit(".csv")) & ~F.contains("file", F.lit("audit")))
-    text = F.rtrim(F.coalesce("line", F.lit("")), F.lit(" \t\n\u000b\f\r"))
-    rows = ours.select(
+    rows = _ours(events).select(
         F.when(placed, F.col("byte_pos")).otherwise(F.col("event_id")).alias("byte_pos"), F.when(placed, F.col("file_id")).alias("file_id"),
-        "event_id", F.contains("file", F.lit("dmesg")).alias("kernel"), text.alias("text"), *more,
+        "event_id", F.contains("file", F.lit("dmesg")).alias("kernel"), _text().alias("text"), *more,
     )
     first = F.min_by(F.struct("event_id", "kernel", "text", *more), "event_id").alias("r")
     return rows.groupBy("byte_pos", "file_id").agg(first).select("byte_pos", "file_id", "r.*")
@@ -114,49 +124,50 @@ def parsed_lines(lines: DataFrame, rules: DataFrame, texts: bool = True) -> Data
     rule is null for lines that continue an entry; ``field`` lines belong to an entry opened by a lone brace. Null and
     empty lines continue. Very long lines are read whole.
     """
-    rows = pinned(lines, "sig", F.when(~F.col("kernel"), signature(F.col("text"))))
+    rows = with_signature(lines, F.when(~F.col("kernel"), F.col("text")), "sig")
     rows = with_rules(rows, "sig", rules)
-    t, rule = F.col("text"), F.col("rule")
-    ok = F.lit(False)
-    for name, (_, pattern) in RULES.items():
-        ok = F.when(rule == name, t.rlike(pattern)).otherwise(ok)
-    rows = pinned(rows, "rule", F.when(F.col("kernel"), F.lit("kernel")).when(ok, rule))
-    get = lambda name, k: F.regexp_extract(t, RULES[name][1], k)
-    plain = F.regexp_replace(t, _QUOTED, '""')
-    pair = lambda names: F.coalesce(F.nullif(F.regexp_extract(plain, rf'\s(?:{names})=([^\s"]+)', 1), F.lit("")), F.replace(F.regexp_extract(t, rf'\s(?:{names})="((?:[^"\\]|\\.)*+)"', 1), F.lit('\\"'), F.lit('"')))
-    in_json = lambda *names: F.coalesce(*(F.get_json_object(t, f"$.{n}") for n in names), F.lit(""))
-    said = F.regexp_extract(get("syslog", 4), r"\A(?:<(?i:(" + _WORDS + r"))>|\[(?i:(" + _WORDS + r"))\]|(?i:(" + _WORDS + r")):|((?:" + _WORDS.upper() + r"))(?=\s))", 0)
-    kernel = kernel_fields(t)
-    lvl = {
-        "glog": F.substring(t, 1, 1), "dashed": get("dashed", 3), "thread": get("thread", 2), "bracket": get("bracket", 3), "syslog": F.regexp_replace(said, r"[^A-Za-z]", ""),
-        "pairs": pair("level|lvl|severity"), "json": in_json("level", "lvl", "severity"), "field": F.when(get("field", 1).isin("level", "lvl", "severity"), get("field", 2)),
-    }
-    component = {
-        "glog": get("glog", 2), "dashed": get("dashed", 2), "thread": get("thread", 3), "bracket": get("bracket", 2), "syslog": get("syslog", 3),
-        "pairs": pair("component|logger|module"), "json": in_json("component", "logger", "module"), "field": F.when(get("field", 1).isin("component", "logger", "module"), get("field", 2)),
-    }
-    json_time = in_json("time", "ts", "timestamp")
-    time_text = {
-        "glog": F.substring(get("glog", 1), 2, 99), "dashed": get("dashed", 1), "thread": get("thread", 1), "bracket": get("bracket", 1), "syslog": get("syslog", 1),
-        "pairs": get("pairs", 1), "json": F.when(json_time.rlike(r"\d[eE]\d+\z"), json_time.try_cast("decimal(30, 6)").cast("string")).otherwise(json_time), "field": F.when(get("field", 1).isin("time", "ts", "timestamp"), F.coalesce(F.nullif(get("field", 2), F.lit("")), get("field", 3))),
-    }
-    message = {
-        "glog": get("glog", 3), "dashed": get("dashed", 4), "thread": get("thread", 4), "bracket": get("bracket", 4), "syslog": F.ltrim(F.substr(get("syslog", 4), F.length(said) + 1)),
-        "pairs": pair("msg|message"), "json": in_json("msg", "message"), "field": F.when(get("field", 1).isin("msg", "message"), get("field", 2)),
-    }
-
-    def by_rule(of: dict[str, Column], kernel_value: Column) -> Column:
-        out = F.when(rule == "kernel", kernel_value)
-        for name, value in of.items():
-            out = out.when(rule == name, value)
-        return out
-
+    t, rule = F.col("text"), F.when(F.col("kernel"), F.lit("kernel")).otherwise(F.col("rule"))
+    rows = pinned(rows, "rule", rule)
+    rule = F.col("rule")
+    rows = pinned(rows, "plain", F.when(rule == "pairs", F.regexp_replace(t, _QUOTED, '""')))
+    rows = pinned(rows, "object", F.when((rule == "json") & t.rlike(RULES["json"][1]), F.coalesce(F.from_json(t, ", ".join(f"{n} string" for ns in FIELDS for n in ns)), F.named_struct(*(x for ns in FIELDS for n in ns for x in (F.lit(n), F.lit("")))))))
+
+    def split(name: str) -> Column:
+        """Level, time, component and message by one pass over the line, which puts them in this order."""
+        swap = "".join(_SEP + (f"${k}" if k else "") for k in GROUPS[name])
+        return F.split(F.regexp_replace(t, _KERNEL if name == "kernel" else RULES[name][1], swap), _SEP, 5)
+
+    def pair(names: tuple[str, ...]) -> Column:
+        any_of = "|".join(names)
+        quoted = F.replace(F.regexp_extract(t, rf'\s(?:{any_of})="((?:[^"\\]|\\.)*+)"', 1), F.lit('\\"'), F.lit('"'))
+        return F.coalesce(F.nullif(F.regexp_extract("plain", rf'\s(?:{any_of})=([^\s"]+)', 1), F.lit("")), quoted)
+
+    key, word, digits = (F.regexp_extract(t, RULES["field"][1], k) for k in (1, 2, 3))
+    lvl, time, component, message = FIELDS
+    nothing, empty = F.lit(None).cast("string"), F.lit("")
+    got = F.when(rule == "pairs", F.when(t.rlike(RULES["pairs"][1]), F.array(empty, pair(lvl), F.regexp_extract(t, RULES["pairs"][1], 1), pair(component), pair(message) if texts else empty)))
+    got = got.when(rule == "json", F.when(F.col("object").isNotNull(), F.array(empty, *(F.coalesce(*(F.col("object")[n] for n in ns), empty) for ns in FIELDS))))
+    got = got.when(rule == "open_json", F.when(t == "{", F.array(empty, nothing, nothing, nothing, nothing)))
+    got = got.when(rule == "field", F.when(key != "", F.array(empty, *(F.when(key.isin(*ns), F.coalesce(F.nullif(word, empty), digits) if ns == time else word) for ns in FIELDS))))
+    for name in GROUPS:
+        got = got.when(rule == name, split(name))
+    rows = pinned(rows, "got", got)
+    got = F.col("got")
+    kernel = rule == "kernel"
+    ok = got.isNotNull() & ((F.size(got) == 5) | kernel)
+    read = lambda k: F.when(ok, F.coalesce(F.get(got, F.lit(k)), F.when(kernel, empty)))
+    said = F.regexp_extract(read(4), r"\A(?:<(?i:(" + _WORDS + r"))>|\[(?i:(" + _WORDS + r"))\]|(?i:(" + _WORDS + r")):|((?:" + _WORDS.upper() + r"))(?=\s))", 0)
+    prio = read(1).try_cast("long") % 8
+    by_prio = F.when(prio <= 2, "FATAL").when(prio == 3, "ERROR").when(prio == 4, "WARN").when(prio <= 6, "INFO").when(prio == 7, "DEBUG").otherwise("")
+    named = F.when(rule == "syslog", F.regexp_replace(said, r"[^A-Za-z]", "")).otherwise(read(1))
+    level = F.when(kernel, by_prio).when(named != "", level_of(named))
+    rest = F.when(F.size(got) == 5, got[4]).otherwise(t)
+    told = F.when(kernel, F.when(read(3) != "", F.regexp_replace(rest, r"\A[^\n]*?:(?:[^\S\n]+|(?=\n)|\z)", "")).otherwise(rest)).when(rule == "syslog", F.ltrim(F.substr(read(4), F.length(said) + 1))).otherwise(read(4))
     inner = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     keep = [c for c in lines.columns if c not in ("kernel", "text")] + (["text"] if texts else [])
-    shown = {"time_text": by_rule(time_text, kernel["time_text"]), "message": by_rule(message, kernel["message"])} if texts else {}
     return rows.select(
-        *keep, "rule", by_rule({k: F.when(v != "", level_of(v)) for k, v in lvl.items()}, kernel["lvl"]).alias("lvl"), by_rule(component, kernel["component"]).alias("component"),
-        F.when(F.col("kernel"), inner).otherwise(1).cast("long").alias("inner"), *(v.alias(k) for k, v in shown.items()),
+        *keep, F.when(ok, rule).alias("rule"), level.alias("lvl"), read(3).alias("component"), F.when(F.col("kernel"), inner).otherwise(1).cast("long").alias("inner"),
+        *([read(2).alias("time_text"), told.alias("message")] if texts else []),
     )
 
 
@@ -236,9 +247,8 @@ def log_entries(events: DataFrame, texts: bool = True, hosts: DataFrame | None =
     fixed to one instant. Tables without rows give none; other columns of ``events`` are not passed on.
     """
     more = ("host_name", "ts") if texts and hosts is not None else ()
-    texts_of = F.rtrim(F.coalesce("line", F.lit("")), F.lit(" \t\n\u000b\f\r"))
-    ours = events.where(F.col("file").isNotNull() & ~F.contains("file", F.lit(".csv")) & ~F.contains("file", F.lit("audit")) & ~F.contains("file", F.lit("dmesg")))
-    rules = materialise(resolve(ours.select(signature(texts_of).alias("sig")), "sig"), "rules")
+    ours = _ours(events).where(~F.contains("file", F.lit("dmesg"))).select(_text().alias("text"))
+    rules = materialise(resolve(with_signature(ours, F.col("text"), "sig"), "sig"), "rules")
     rows = entries(parsed_lines(our_lines(events, *more), rules, texts), block_bytes, more)
     if more:
         rows = with_host_zone(rows.withColumn("__text", dated(F.col("time_text"), F.col("rule"), F.col("ts").cast("timestamp"))), hosts, "host_name", "__zone")

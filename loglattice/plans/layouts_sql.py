@@ -82,7 +82,7 @@ e as (select file_id, head, count(*) n_lines, {', '.join(f'min(case when byte_po
  string_agg(x, chr(10) order by byte_pos) filter (byte_pos <> head) follow from c where head is not null group by 1, 2),
 f as (select event_id, n_lines, host_name, ts, false kernel, coalesce(case when kind = 'open' then fw else hw end, '') w, coalesce(case when kind = 'open' then fc else hc end, '') component, coalesce(case when kind = 'open' then ft else ht end, '') time_text,
  case when kind = 'open' then coalesce(fm, '') else coalesce(hm, '') || coalesce(chr(10) || follow, '') end message from e),
-m as (select event_id, host_name, ts, length(x) - length(replace(x, chr(10), '')) + 1 n_lines, try_cast(regexp_extract(x, '^<(\d+)>\[', 1) as bigint) % 8 pr, regexp_extract(x, {_KERNEL}, 1) time_text, regexp_extract(x, {_KERNEL}, 2) rest from b where kernel),
+m as (select event_id, host_name, ts, length(x) - length(replace(x, chr(10), '')) + 1 n_lines, try_cast(regexp_extract(x, '^<(\d+)>\[', 1) as bigint) % 8 pr, regexp_extract(x, {_KERNEL}, 1) time_text, case when regexp_matches(x, {_KERNEL}) then regexp_extract(x, {_KERNEL}, 2) else x end rest from b where kernel),
 n as (select *, regexp_extract(rest, '^([^\s:\[]+)[^:\n]*:', 1) component from m),
 g as (select event_id, n_lines, {_LEVEL} lvl, component, time_text, message, host_name, ts, kernel from f union all
  select event_id, n_lines, case when pr <= 2 then 'FATAL' when pr = 3 then 'ERROR' when pr = 4 then 'WARN' when pr <= 6 then 'INFO' when pr = 7 then 'DEBUG' else '' end, component, time_text,
