@@ -142,11 +142,15 @@ def parsed_lines(lines: DataFrame, rules: DataFrame, texts: bool = True) -> Data
         quoted = F.replace(F.regexp_extract(t, rf'\s(?:{any_of})="((?:[^"\\]|\\.)*+)"', 1), F.lit('\\"'), F.lit('"'))
         return F.coalesce(F.nullif(F.regexp_extract("plain", rf'\s(?:{any_of})=([^\s"]+)', 1), F.lit("")), quoted)
 
+    def plain_number(value: Column) -> Column:
+        """A JSON number that was read in scientific notation, with its digits."""
+        return F.when(value.rlike(r"\A\d+\.\d+E\d+\z"), value.try_cast("decimal(30, 6)").cast("string")).otherwise(value)
+
     key, word, digits = (F.regexp_extract(t, RULES["field"][1], k) for k in (1, 2, 3))
     lvl, time, component, message = FIELDS
     nothing, empty = F.lit(None).cast("string"), F.lit("")
     got = F.when(rule == "pairs", F.when(t.rlike(RULES["pairs"][1]), F.array(empty, pair(lvl), F.regexp_extract(t, RULES["pairs"][1], 1), pair(component), pair(message) if texts else empty)))
-    got = got.when(rule == "json", F.when(F.col("object").isNotNull(), F.array(empty, *(F.coalesce(*(F.col("object")[n] for n in ns), empty) for ns in FIELDS))))
+    got = got.when(rule == "json", F.when(F.col("object").isNotNull(), F.array(empty, *(F.coalesce(*(plain_number(F.col("object")[n]) if ns == time else F.col("object")[n] for n in ns), empty) for ns in FIELDS))))
     got = got.when(rule == "open_json", F.when(t == "{", F.array(empty, nothing, nothing, nothing, nothing)))
     got = got.when(rule == "field", F.when(key != "", F.array(empty, *(F.when(key.isin(*ns), F.coalesce(F.nullif(word, empty), digits) if ns == time else word) for ns in FIELDS))))
     for name in GROUPS:
