@@ -6,8 +6,10 @@ import fnmatch
 import hashlib
 import os
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+import threading
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 from loglattice.options import CHECKSUM, CHECKSUM_SEPARATOR, DEVICE_AND_INODE, OptionError
 
@@ -180,24 +182,116 @@ def walk(root: str) -> Iterator[str]:
             yield root
         return
     try:
-        names = sorted(os.listdir(root))
+        with os.scandir(root) as found:
+            entries = sorted(found, key=lambda e: e.name)
     except OSError:
         return
-    for name in names:
-        path = os.path.join(root, name) if root != "." else name
-        if os.path.isdir(path) and not os.path.islink(path):
+    for e in entries:
+        path = os.path.join(root, e.name) if root != "." else e.name
+        try:
+            folder = e.is_dir()
+        except OSError:
+            continue
+        if folder and not e.is_symlink():
             yield from walk(path)
-        elif not os.path.isdir(path):
+        elif not folder:
             yield path
 
 
-def listing(include: list[str], exclude: list[str], strategy: str, size: int, separator: str = "\n") -> list[Found]:
-    """The files there are now, one for each identity: the first path found."""
+class Known:
+    """What earlier listings found of each path, for as long as inode, size and times of its file stay the same."""
+
+    def __init__(self):
+        self.rows: dict[tuple, tuple] = {}
+
+    def of(self, path: str, what: str, make: Callable[[], object]) -> object:
+        """``make()``, or its last value if the file has not changed since."""
+        try:
+            s = os.stat(path)
+        except OSError:
+            return make()
+        stamp = (s.st_dev, s.st_ino, s.st_size, s.st_mtime_ns, s.st_ctime_ns)
+        held = self.rows.get((path, what))
+        if held and held[0] == stamp:
+            return held[1]
+        value = make()
+        self.rows[path, what] = (stamp, value)
+        return value
+
+    def keep(self, paths: set[str]) -> None:
+        """Forgets all other paths."""
+        self.rows = {k: v for k, v in self.rows.items() if k[0] in paths}
+
+
+def listing(include: list[str], exclude: list[str], strategy: str, size: int, separator: str = "\n", workers: int = 16, known: Known | None = None) -> list[Found]:
+    """The files there are now, one for each identity: the first path found.
+
+    Files are identified by ``workers`` threads, since this is waiting for storage; with ``known`` only those that
+    changed since the last listing are read.
+    """
     roots = scan_roots(include)
     check_overlap(roots)
-    match, out = Matcher(include, exclude), {}
-    for root in roots:
-        for path in walk(root):
-            if match(path) and (found := identity(path, strategy, size, separator)) and found not in out:
-                out[found] = Found(found, path, os.path.getsize(path))
+    match, known = Matcher(include, exclude), known or Known()
+    paths = [path for root in roots for path in walk(root) if match(path)]
+
+    def look(path: str) -> Found | None:
+        found = known.of(path, "identity", lambda: identity(path, strategy, size, separator))
+        try:
+            return Found(found, path, os.path.getsize(path)) if found else None
+        except OSError:
+            return None
+
+    out: dict[str, Found] = {}
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        for f in pool.map(look, paths):
+            if f and f.file_id not in out:
+                out[f.file_id] = f
+    known.keep(set(paths))
     return list(out.values())
+
+
+@dataclass
+class TrackedFile:
+    file_id: str
+    path: str
+    strategy: str
+    fingerprint_size: int = 0
+    offset: int = 0
+
+
+class FileTracker:
+    """A registry of files by identity, safe to use from several threads."""
+
+    def __init__(self):
+        self._lock, self._files = threading.Lock(), {}
+
+    def add(self, file: TrackedFile) -> None:
+        """Registers a file, in place of one with the same identity."""
+        with self._lock:
+            self._files[file.file_id] = replace(file)
+
+    def get(self, file_id: str) -> TrackedFile | None:
+        """A copy of what is registered."""
+        with self._lock:
+            return replace(self._files[file_id]) if file_id in self._files else None
+
+    def path(self, file_id: str) -> str:
+        """The path of a file; empty if it is not registered."""
+        found = self.get(file_id)
+        return found.path if found else ""
+
+    def remove(self, file_id: str) -> None:
+        with self._lock:
+            self._files.pop(file_id, None)
+
+    def update_offset(self, file_id: str, offset: int) -> bool:
+        """False if the file is not registered."""
+        with self._lock:
+            if file_id not in self._files:
+                return False
+            self._files[file_id].offset = offset
+            return True
+
+    def all(self) -> dict[str, TrackedFile]:
+        with self._lock:
+            return {k: replace(v) for k, v in self._files.items()}

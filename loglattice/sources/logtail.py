@@ -3,8 +3,10 @@
 Formats and offsets: ``spark.read.format("logtail")`` gives the complete records of all files, in parallel over files
 and over byte ranges of large files; ``spark.readStream`` reads what was appended since the offsets of the checkpoint.
 Options: include, exclude (JSON lists or comma-separated), separator, fingerprintStrategy, fingerprintSize, splitBytes,
-startOffsets (JSON: file id to byte), rest (also the incomplete record at a file's end), keepBlank. Paths must be visible
-to all executors.
+startOffsets (JSON: file id to byte), rest (also the incomplete record at a file's end), keepBlank, workers (threads that
+identify files on the driver), maxBytes (most bytes of a stream's batch; 0: no bound; of a stream that goes on from a
+checkpoint, startOffsets should then say where it stands, as the collector does). Paths must be visible to all executors.
+Records are split by block and handed over as Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,18 +16,22 @@ import os
 import sys
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from typing import BinaryIO
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from loglattice.options import DEVICE_AND_INODE
 from loglattice.session import ship
-from loglattice.sources.discovery import FingerprintMismatch, identity, listing
+from loglattice.sources.discovery import FingerprintMismatch, Found, Known, identity, listing
 
 SCHEMA = "line string, file string, file_id string, byte_pos long, end_pos long, ts timestamp"
-_BLOCK = 1 << 20
+_BLOCK = 4 << 20
 
 
 @dataclass
@@ -42,32 +48,53 @@ class Range(InputPartition):
         self.path, self.file_id, self.start, self.end, self.first, self.last = path, file_id, start, end, first, last
 
 
-def split_records(path: str, separator: bytes, start: int, end: int, first: bool = True, rest: bool = False) -> Iterator[tuple[int, int, bytes]]:
-    """(begin, end, record) of the records that begin in [start, end) of a file; ``rest``: also an incomplete last one.
+def split_records(f: BinaryIO, separator: bytes, start: int, end: int, first: bool = True, rest: bool = False, block: int = _BLOCK) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(begins, records) of the records that begin in [start, end) of a file, block by block; ``rest``: also an incomplete last one.
 
     Unless ``first``, the reader looks for the separator that ends at or after ``start``: the record before it belongs
-    to the range before.
+    to the range before. Separators do not overlap and are found from the left.
     """
     n = len(separator)
-    with open(path, "rb") as f:
-        at = start if first else max(0, start - n)
-        f.seek(at)
-        held, skip = b"", not first
-        while True:
-            if (hit := held.find(separator)) >= 0:
-                if not skip:
-                    yield at, at + hit + n, held[:hit]
-                skip = False
-                held, at = held[hit + n :], at + hit + n
-                if at >= end:
-                    return
-                continue
-            block = f.read(_BLOCK)
-            if not block:
-                break
-            held += block
+    at = start if first else max(0, start - n)
+    f.seek(at)
+    held, scanned, skip = bytearray(), 0, not first
+    while at < end and (data := f.read(block)):
+        held += data
+        if held.find(separator, max(0, scanned - n + 1)) < 0:
+            scanned = len(held)
+            continue
+        pieces = bytes(held).split(separator)
+        held, scanned = bytearray(pieces.pop()), 0
+        width = np.fromiter(map(len, pieces), np.int64, len(pieces)) + n
+        ends = at + np.cumsum(width)
+        begins, at = ends - width, int(ends[-1])
+        k = int(np.searchsorted(begins, end, "left"))
+        if k > skip:
+            yield begins[skip:k], pieces[skip:k]
+        skip = False
     if rest and held and not skip and at < end:
-        yield at, at + len(held), held
+        yield np.array([at], np.int64), [bytes(held)]
+
+
+def as_text(records: list[bytes]) -> pa.Array:
+    """Records as strings; bytes that are no UTF-8 are replaced."""
+    try:
+        return pa.array(records, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([r.decode("utf-8", "replace") for r in records], pa.string())
+
+
+def next_end(path: str, separator: bytes, begin: int) -> int:
+    """Where the record that begins at ``begin`` ends; ``begin`` if it is not complete."""
+    with open(path, "rb") as f:
+        f.seek(begin)
+        held, scanned = bytearray(), 0
+        while data := f.read(_BLOCK):
+            held += data
+            if (hit := held.find(separator, max(0, scanned - len(separator) + 1))) >= 0:
+                return begin + hit + len(separator)
+            scanned = len(held)
+    return begin
 
 
 def complete_end(path: str, separator: bytes, size: int) -> int:
@@ -103,8 +130,10 @@ class _Options:
         self.rest = low.get("rest", "false").lower() == "true"
         self.blank = low.get("keepblank", "false").lower() == "true"
 
-    def found(self):
-        return listing(self.include, self.exclude, self.strategy, self.size, self.separator)
+        self.workers, self.most = max(1, int(low.get("workers", 16))), int(low.get("maxbytes", 0))
+
+    def found(self, known: Known | None = None) -> list[Found]:
+        return listing(self.include, self.exclude, self.strategy, self.size, self.separator, self.workers, known)
 
     def ranges(self, path: str, file_id: str, start: int, end: int) -> list[Range]:
         """One range, or several for a long file whose separator cannot overlap itself."""
@@ -134,14 +163,27 @@ class _Options:
             open(path, "rb").close()
         return None
 
-    def rows(self, part: Range) -> Iterator[tuple]:
-        now = identity(part.path, self.strategy, self.size, self.separator)
-        if now != part.file_id:
-            raise FingerprintMismatch(part.path, part.file_id, now)
-        ts = datetime.now(timezone.utc)
-        for a, b, record in split_records(part.path, self.separator.encode(), part.start, part.end, part.first, self.rest and part.last):
-            if record or self.blank:
-                yield record.decode("utf-8", "replace"), part.path, part.file_id, a, b, ts
+    def rows(self, part: Range) -> Iterator[pa.RecordBatch]:
+        """The records of a range. The open file is the one that was identified, or an error is raised before any row."""
+        with open(part.path, "rb") as f:
+            now, path, opened = identity(part.path, self.strategy, self.size, self.separator), os.stat(part.path), os.fstat(f.fileno())
+            if now != part.file_id or (path.st_dev, path.st_ino) != (opened.st_dev, opened.st_ino):
+                raise FingerprintMismatch(part.path, part.file_id, now)
+            ts = datetime.now(timezone.utc)
+            n = len(self.separator.encode())
+            for begins, records in split_records(f, self.separator.encode(), part.start, part.end, part.first, self.rest and part.last):
+                width = np.fromiter(map(len, records), np.int64, len(records))
+                ends = begins + width + n
+                if self.rest and part.last:  # an incomplete record has no separator
+                    ends = np.minimum(ends, opened.st_size) if len(records) == 1 else ends
+                if not self.blank:
+                    some = width > 0
+                    if not some.all():
+                        records, begins, ends = [r for r in records if r], begins[some], ends[some]
+                if records:
+                    same = lambda v, t: pa.repeat(pa.scalar(v, t), len(records))
+                    columns = [as_text(records), same(part.path, pa.string()), same(part.file_id, pa.string()), pa.array(begins), pa.array(ends), same(ts, pa.timestamp("us", "UTC"))]
+                    yield pa.RecordBatch.from_arrays(columns, ["line", "file", "file_id", "byte_pos", "end_pos", "ts"])
 
 
 class _Batch(DataSourceReader):
@@ -149,13 +191,13 @@ class _Batch(DataSourceReader):
         self.o = options
 
     def partitions(self):
+        """Ranges up to the present size of each file: what is incomplete at its end is found by the task that reads it."""
         out = []
         for f in self.o.found():
             start = self.o.start.get(f.file_id, 0)
             start = start if start <= f.size else 0
-            end = f.size if self.o.rest else complete_end(f.path, self.o.separator.encode(), f.size)
-            if end > start:
-                out += self.o.ranges(f.path, f.file_id, start, end)
+            if f.size > start:
+                out += self.o.ranges(f.path, f.file_id, start, f.size)
         return out or [Range("", "", 0, 0)]
 
     def read(self, partition):
@@ -166,19 +208,42 @@ class _Stream(DataSourceStreamReader):
     """Offsets are {file id: [path, byte]}: they survive renames, and files that are gone leave them."""
 
     def __init__(self, options: _Options):
-        self.o = options
+        self.o, self.known, self.planned = options, Known(), dict(options.start)
 
     def initialOffset(self):
         return {k: ["", v] for k, v in self.o.start.items()}
 
+    def _end(self, f: Found) -> int:
+        return self.known.of(f.path, "end", lambda: complete_end(f.path, self.o.separator.encode(), f.size))
+
     def latestOffset(self):
-        out = {}
-        for f in self.o.found():
-            end = complete_end(f.path, self.o.separator.encode(), f.size)
-            out[f.file_id] = [f.path, end]
+        """The ends of complete records. With ``maxBytes`` no more than that beyond the last plan, but one record at least.
+
+        Files that waited longest come first: each time the order starts after the last one that was read.
+        """
+        found = self.o.found(self.known)
+        with ThreadPoolExecutor(self.o.workers) as pool:
+            ends = dict(zip((f.file_id for f in found), pool.map(self._end, found)))
+        if self.o.most:
+            left = self.o.most
+            order = sorted(found, key=lambda f: (self.planned.get(f.file_id, 0), f.path))
+            for f in order:
+                begin = self.planned.get(f.file_id, 0)
+                begin = begin if begin <= ends[f.file_id] else 0
+                more = ends[f.file_id] - begin
+                if more > left:
+                    upto = complete_end(f.path, self.o.separator.encode(), begin + left) if left > 0 else begin
+                    if upto <= begin and left == self.o.most:
+                        upto = next_end(f.path, self.o.separator.encode(), begin)
+                    ends[f.file_id] = max(upto, begin)
+                left -= ends[f.file_id] - begin
+                left = max(0, left)
+        out = {f.file_id: [f.path, ends[f.file_id]] for f in found}
+        self.planned = {k: v[1] for k, v in out.items()}
         return out
 
     def partitions(self, start, end):
+        self.planned = {k: v[1] for k, v in end.items()}
         out = []
         for file_id, (path, upto) in end.items():
             begin = start.get(file_id, ["", 0])[1]

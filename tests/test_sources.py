@@ -1,5 +1,6 @@
 import hashlib
 import http.server
+import io
 import json
 import os
 import threading
@@ -37,7 +38,8 @@ def test_roots(tmp_path):
 @pytest.mark.parametrize(("include", "exclude", "want"), [
     (["{}", "*.log"], [], ["log2.log"]), (["{}"], ["*.log"], ["config.yaml", "data.json", "log1.txt"]), (["{}", "*.txt", "*.log"], ["*.json"], ["log1.txt", "log2.log"]), (["{}/log1.txt"], [], ["log1.txt"]), (["{}/*.y*ml"], [], ["config.yaml"]),
 ])
-def test_include_and_exclude(tmp_path, include, exclude, want):
+def test_include_and_exclude(tmp_path, tmp_path_factory, monkeypatch, include, exclude, want):
+    monkeypatch.chdir(tmp_path_factory.mktemp("elsewhere"))  # a bare glob also looks in the working folder
     for name in ("log1.txt", "log2.log", "data.json", "config.yaml"):
         write(tmp_path / name, name.encode())
     write(tmp_path / "empty.log", b"")
@@ -84,12 +86,41 @@ def test_batch(spark, tmp_path):
         assert [x for x, _, _ in read(spark, g, separator="<END>", splitBytes=split)] == [f"record {i:05d}" for i in range(3000)], split
     for split in range(1, 40):
         cuts = [*range(0, 170, split), 170]
-        parts = [logtail.split_records(g, b"<END>", a, b, a == 0) for a, b in zip(cuts, cuts[1:])]
-        assert [r for p in parts for _, _, r in p] == [b"record %05d" % i for i in range(10)], split
+        for block in (1, 7, 1000):
+            parts = [logtail.split_records(io.BytesIO(open(g, "rb").read()), b"<END>", a, b, a == 0, block=block) for a, b in zip(cuts, cuts[1:])]
+            got = [(at, r) for p in parts for begins, records in p for at, r in zip(begins.tolist(), records)]
+            assert got == [(17 * i, b"record %05d" % i) for i in range(10)], (split, block)
     assert read(spark, write(tmp_path / "c.log", b"x" * 1000)) == [] and read(spark, tmp_path / "none.log") == []
     assert len(read(spark, write(tmp_path / "n.log", b"burst: " + b"\0" * 9000 + b"\n" + os.urandom(500).replace(b"\n", b" ") + b"\n"))) == 2
 
 
+def test_stream_batches_are_bounded(tmp_path):
+    for k in range(3):
+        write(tmp_path / f"{k}.log", b"".join(b"%d-%03d\n" % (k, i) for i in range(50)))
+    write(tmp_path / "long.log", b"x" * 1000 + b"\ny\n")
+    s = logtail._Stream(logtail._Options({"include": str(tmp_path / "*.log"), "maxBytes": "100"}))
+    start, got, rounds = s.initialOffset(), [], 0
+    while (end := s.latestOffset()) != start and rounds < 50:
+        parts = s.partitions(start, end)
+        lines = [x for p in parts for r in s.read(p) for x in r["line"].to_pylist()]
+        assert lines and (sum(len(x) + 1 for x in lines) <= 100 or lines == ["x" * 1000])
+        got, start, rounds = got + lines, end, rounds + 1
+    assert sorted(got) == sorted([f"{k}-{i:03d}" for k in range(3) for i in range(50)] + ["x" * 1000, "y"])
+    s = logtail._Stream(logtail._Options({"include": str(tmp_path / "*.log")}))
+    assert s.latestOffset() == s.latestOffset() == start
+
+
+def test_tracker():
+    t = d.FileTracker()
+    t.add(d.TrackedFile("a", "/a", "checksum"))
+    copy = t.get("a")
+    copy.offset = 9
+    assert t.get("a").offset == 0 and t.update_offset("a", 5) and not t.update_offset("b", 5) and t.all()["a"].offset == 5
+    assert t.path("a") == "/a" and t.path("b") == "" and t.get("b") is None
+    t.remove("a")
+    assert t.all() == {}
+
+
 def run_stream(collector):
     q = collector.start(available_now=True)
     q.awaitTermination(60)
@@ -121,7 +152,7 @@ def test_stream_ranges_follow_renamed_files(tmp_path, monkeypatch):
     logs = tmp_path / "logs"
     os.mkdir(logs)
     make = lambda **o: logtail._Stream(logtail._Options({"include": str(logs / "*.log*"), "fingerprintStrategy": "checksum", "fingerprintSize": "3"} | o))
-    lines = lambda s, parts: sorted(r[0] for p in parts for r in s.read(p))
+    lines = lambda s, parts: sorted(x for p in parts for r in s.read(p) for x in r["line"].to_pylist())
     write(logs / "a.log", b"one\ntwo\n")
     s = make()
     end = s.latestOffset()
