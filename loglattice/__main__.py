@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import signal
 
 from pyspark.sql import SparkSession
 
@@ -37,7 +38,10 @@ def main(args: list[str] | None = None) -> None:
     if once:
         collector.once()
     else:
-        collector.start().awaitTermination()
+        query = collector.start()
+        for name in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(name, lambda *_: query.stop())  # the running batch is not committed, and comes again
+        query.awaitTermination()
 
 
 if __name__ == "__main__":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglattice.functions.json import escaped
 from loglattice.session import fresh, pinned
 
 # Fixed value: the layout of an audit record, with or without stamp: type, seconds, fraction, serial, body.
@@ -66,13 +67,6 @@ def parse(line: Column, found: Column | None = None) -> Column:
     return F.when(got.isNotNull(), F.struct(F.regexp_replace(line, _SPACES, "").alias("raw"), *(c.alias(n) for n, c in header(got).items()), fields.alias("fields")))
 
 
-def escaped(json: Column) -> Column:
-    """JSON with <, > and & written as \\u escapes."""
-    for char, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
-        json = F.replace(json, F.lit(char), F.lit(code))
-    return json
-
-
 def to_json(record: Column) -> Column:
     """The record as JSON: zero numbers and an empty map left out, map keys in order."""
     number = lambda n: F.nullif(record[n], F.lit(0).cast("long")).alias(n)

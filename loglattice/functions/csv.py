@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.functions.json import escaped, number, quoted
 from loglattice.session import pinned
 
 # Texts that are booleans, and the time layouts tried, in order.
@@ -73,7 +74,7 @@ def kind_of(value: Column, strict_bool: bool = False) -> Column:
 
 
 def parsed(df: DataFrame, file_id: str, order: str, line: str, options: CsvOptions = CsvOptions(), block_lines: int = 100_000) -> DataFrame:
-    """(file_id, ord, line_number, raw, names, cells, error) of each row that is no header.
+    """(file_id, ord, line_number, raw, names, cells, error, known) of each row that is no header; known: all names of its file.
 
     Blank lines count for nothing. Line numbers count headers and malformed lines. The header is the first counted line
     of a file if it has one and is well formed; else names are the given ones, or field_1, field_2 and so on, as many as
@@ -98,7 +99,44 @@ def parsed(df: DataFrame, file_id: str, order: str, line: str, options: CsvOptio
     rows = rows.withColumn("known", F.coalesce("head", given, numbered)).where(~((F.col("line_number") == 1) & F.col("head").isNotNull()))
     names = F.transform("cells", lambda c, i: F.coalesce(F.get("known", i), F.concat(F.lit("extra_field_"), (i + 1).cast("string"))))
     error = F.when(F.col("cells").isNull(), F.concat(F.lit("failed to parse CSV line "), F.col("line_number").cast("string")))
-    return rows.select("file_id", "ord", "line_number", "raw", names.alias("names"), "cells", error.alias("error"))
+    return rows.select("file_id", "ord", "line_number", "raw", names.alias("names"), "cells", error.alias("error"), "known")
+
+
+def last_cells() -> Column:
+    """An array of (key, value) of the cells of a parsed row; of equal names the last counts."""
+    cell = F.arrays_zip(F.col("names").alias("key"), F.col("cells").alias("value"))
+    return F.filter(cell, lambda c, i: ~F.exists(F.slice(cell, i + 2, F.size(cell)), lambda later: later["key"] == c["key"]))
+
+
+def as_maps(rows: DataFrame) -> DataFrame:
+    """(file_id, line_number, raw, fields): well-formed rows with a map from names to cells; missing cells are not in it."""
+    return rows.where(F.col("error").isNull()).select("file_id", "line_number", "raw", F.map_from_entries(last_cells()).alias("fields"))
+
+
+def to_json(rows: DataFrame, options: CsvOptions = CsvOptions(), parsed_at: Column | None = None) -> DataFrame:
+    """(file_id, line_number, json): well-formed rows as JSON, names in order, values with their detected types.
+
+    Texts that mean an infinite number or none are strings, since JSON has no such numbers. ``parsed_at``: a time to add.
+    """
+
+    def value(v: Column) -> Column:
+        if not options.detect_types:
+            return quoted(v)
+        kind, plain = kind_of(v, options.strict_bool), F.regexp_replace(v, _SPACES, "")
+        real = plain.try_cast("double")
+        time = F.date_format(as_time(plain), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        whole = F.when(kind == "bool", F.lower(plain).isin(*TRUE).cast("string")).when(kind == "int", plain.try_cast("bigint").cast("string"))
+        return F.coalesce(whole.when((kind == "float") & (F.abs(real) < float("inf")), number(real)).when(kind == "time", quoted(time)), quoted(v))
+
+    entries = F.transform(F.array_sort(last_cells()), lambda c: F.concat(quoted(c["key"]), F.lit(":"), value(c["value"])))
+    at = [] if parsed_at is None else [F.lit(',"parsed_at":'), quoted(F.date_format(parsed_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))]
+    json = F.concat(F.lit('{"raw":'), quoted(F.col("raw")), F.lit(',"fields":{'), F.array_join(entries, ","), F.lit('},"line_number":'), F.col("line_number").cast("string"), *at, F.lit("}"))
+    return rows.where(F.col("error").isNull()).select("file_id", "line_number", escaped(json).alias("json"))
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """(file_id, headers): the names in force in each file of parsed rows."""
+    return rows.groupBy("file_id").agg(F.min_by("known", "line_number").alias("headers"))
 
 
 def fields(rows: DataFrame, options: CsvOptions = CsvOptions()) -> DataFrame:
@@ -107,8 +145,7 @@ def fields(rows: DataFrame, options: CsvOptions = CsvOptions()) -> DataFrame:
     With a timestamp field and format, another key <field>_parsed holds its time in ISO form where it can be read and
     has not been detected as a time already.
     """
-    cell = F.arrays_zip(F.col("names").alias("key"), F.col("cells").alias("value"))
-    last = F.filter(cell, lambda c, i: ~F.exists(F.slice(cell, i + 2, F.size(cell)), lambda later: later["key"] == c["key"]))
+    last = last_cells()
     out = rows.where(F.col("error").isNull()).select("file_id", "line_number", F.explode(last).alias("c")).select("file_id", "line_number", "c.key", "c.value")
     kind = kind_of(F.col("value"), options.strict_bool) if options.detect_types else F.lit("string")
     out = out.withColumn("kind", kind)
@@ -120,6 +157,12 @@ def fields(rows: DataFrame, options: CsvOptions = CsvOptions()) -> DataFrame:
     return out
 
 
+def string_field(value: Column, kind: Column) -> Column:
+    """A cell as text: booleans as true or false, integers in plain digits, all else as written; '' where there is none."""
+    v = F.regexp_replace(value, _SPACES, "")
+    return F.coalesce(F.when(kind == "bool", F.lower(v).isin(*TRUE).cast("string")).when(kind == "int", v.try_cast("bigint").cast("string")).otherwise(value), F.lit(""))
+
+
 def int_field(value: Column, kind: Column) -> Column:
     """A cell as integer: floats are cut off, texts must be integers; null for booleans, times and other texts."""
     v = F.regexp_replace(value, _SPACES, "")

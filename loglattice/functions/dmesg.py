@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loglattice.functions.json import escaped, number, quoted
+
 # The layout of a record, names of priorities, facilities and known subsystems, in their natural order.
 LINE = r"(?s)\A(?:<(\d+)>)?\[[ \t\n\f\r]*(\d+(?:\.\d+)?)\][ \t\n\f\r]*([^\n]*)\z"
 SUBSYSTEM = r"\A([a-zA-Z][a-zA-Z0-9_-]*)[ \t\n\f\r]*[^\n]*?:"
@@ -58,7 +60,9 @@ def facility_name(facility: Column) -> Column:
 
 
 def to_json(record: Column) -> Column:
-    """The record as JSON, with facility, priority and times left out where they are 0 or unknown."""
-    some = lambda n: F.nullif(record[n], F.lit(0)).alias(n)
-    at = F.date_format(record["absolute_time"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("absolute_time")
-    return F.to_json(F.struct(record["raw"].alias("raw"), record["timestamp"].alias("timestamp"), some("facility"), some("priority"), record["subsystem"].alias("subsystem"), record["message"].alias("message"), at))
+    """The record as JSON, with facility, priority and times left out where they are 0 or unknown; <, > and & escaped."""
+    some = lambda n: F.when(record[n] != 0, F.concat(F.lit(f',"{n}":'), record[n].cast("string"))).otherwise("")
+    text = lambda n: F.concat(F.lit(f',"{n}":'), quoted(record[n]))
+    stamp = F.regexp_replace(F.date_format(record["absolute_time"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"(?:\.0+|(\.\d*?)0+)\z", "$1")
+    at = F.coalesce(F.concat(F.lit(',"absolute_time":"'), stamp, F.lit('Z"')), F.lit(""))
+    return escaped(F.concat(F.lit('{"raw":'), quoted(record["raw"]), F.lit(',"timestamp":'), number(record["timestamp"]), some("facility"), some("priority"), text("subsystem"), text("message"), at, F.lit("}")))

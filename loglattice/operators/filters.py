@@ -57,3 +57,36 @@ def path_matches(path: Column, patterns: list[str] | tuple[str, ...]) -> Column:
     base = F.regexp_extract(path, r"([^/]*)\z", 1)
     tests = [path.rlike(glob_regex(p)) | base.rlike(glob_regex(p)) for p in patterns]
     return reduce(Column.__or__, tests) if tests else F.lit(False)
+
+
+def included(path: Column, include: list[str] | tuple[str, ...] = (), exclude: list[str] | tuple[str, ...] = ()) -> Column:
+    """Whether a path is included and not excluded. Includes are globs, names (of the whole path or its last part), or
+
+    folders, which end with a slash; folders count only if no glob or name is given. Without includes all paths are.
+    """
+    folders, globs = [p for p in include if p.endswith("/")], [p for p in include if any(c in p for c in "*?[")]
+    names = [p for p in include if p not in folders and p not in globs]
+    base = F.regexp_extract(path, r"([^/]*)\z", 1)
+    tests = [path_matches(path, globs)] if globs else []
+    tests += [path.isin(*names) | base.isin(*names)] if names else []
+    tests = tests or [path.startswith(p) for p in folders] or [F.lit(True)]
+    return reduce(Column.__or__, tests) & ~path_matches(path, exclude)
+
+
+def markers(line: Column, texts: dict[str, str]) -> list[Column]:
+    """Aggregates by name: whether any line holds a text; false where there are no lines."""
+    return [F.coalesce(F.bool_or(F.contains(line, F.lit(text))), F.lit(False)).alias(name) for name, text in texts.items()]
+
+
+# Alerts on fields of records, by name: the field, how it is compared, and with what.
+ALERTS = {
+    "http_error": ("status", ">=", 400), "large_response": ("bytes", ">", 10000), "high_temperature": ("temperature", ">", 30.0), "low_humidity": ("humidity", "<", 30.0),
+    "high_value": ("value", ">", 100.0), "usb": ("subsystem", "==", "usb"), "kernel_error": ("priority_name", "==", "error"),
+}
+
+
+def alerts(fields: dict[str, Column]) -> Column:
+    """The names of the alerts that hold, as an array, for the fields there are; a null field raises none."""
+    compare = {">=": Column.__ge__, ">": Column.__gt__, "<": Column.__lt__, "==": Column.__eq__}
+    told = [F.when(compare[how](fields[field], F.lit(bound)), F.lit(name)) for name, (field, how, bound) in ALERTS.items() if field in fields]
+    return F.array_compact(F.array(*told)) if told else F.array().cast("array<string>")

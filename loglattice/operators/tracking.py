@@ -31,3 +31,10 @@ def stale(tracked: DataFrame, current: DataFrame) -> DataFrame:
     now = current.select(F.col("path").alias("__path"), F.col("file_id").alias("current_id"))
     both = tracked.join(now, F.col("path") == F.col("__path"), "left").drop("__path")
     return both.where(F.col("current_id").isNull() | (F.col("current_id") != F.col("file_id")))
+
+
+def with_paths(events: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """Adds the path under which each event's file_id is registered; empty if it is not."""
+    known = files.where(F.col("file_id").isNotNull()).groupBy(F.col("file_id").alias("__id")).agg(F.min("path").alias("__path"))
+    both = events.drop(path).join(known, F.col("file_id") == F.col("__id"), "left")
+    return both.withColumn(path, F.coalesce("__path", F.lit(""))).drop("__id", "__path")

@@ -59,6 +59,7 @@ class CollectorOptions:
     exclude: list[str] = field(default_factory=list)
     db_path: str = "collector.db"
     store_offsets: bool = True
+    max_batch_bytes: int = 1 << 30
     multiline: MultilineOptions | None = None
 
     def default_fingerprint(self) -> None:
@@ -183,8 +184,16 @@ def _fill(target: Any, values: dict[str, Any]) -> None:
             setattr(target, name, value)
 
 
+def _yaml(f) -> dict[str, Any]:
+    try:
+        import yaml
+    except ImportError as e:
+        raise OptionError("PyYAML is needed to read a YAML file") from e
+    return yaml.safe_load(f) or {}
+
+
 def load(path: str | None = None, env: dict[str, str] | None = None, flags: dict[str, Any] | None = None, prefix: str = "LOGLATTICE") -> Options:
-    """Defaults, then the file (TOML or JSON), then the environment, then flags; later ones win.
+    """Defaults, then the file (TOML, JSON, or YAML where PyYAML is installed), then the environment, then flags; later ones win.
 
     PREFIX_SINK__BATCH_SIZE and PREFIX_SINK_BATCH_SIZE both name sink.batch-size; PREFIX_CONFIG names the file. Flags
     are fields of the collector, or names with a dot such as prometheus.addr.
@@ -193,7 +202,7 @@ def load(path: str | None = None, env: dict[str, str] | None = None, flags: dict
     out, path = Options(), path or env.get(f"{prefix}_CONFIG")
     if path:
         with open(path, "rb") as f:
-            _fill(out, json.load(f) if path.endswith(".json") else tomllib.load(f))
+            _fill(out, json.load(f) if path.endswith(".json") else _yaml(f) if path.endswith((".yaml", ".yml")) else tomllib.load(f))
     for section in dataclasses.fields(out):
         start = f"{prefix}_{section.name.upper()}_"
         found = {k[len(start) :].lstrip("_").lower(): v for k, v in env.items() if k.startswith(start)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from loglattice.functions import audit, csv, dmesg
 from loglattice.operators import filters, fingerprints, multiline, records, tracking
 from loglattice.options import MultilineOptions
 from loglattice.plans.tables import Query, reader
-from loglattice.session import pinned
+from loglattice.session import pinned, work_path
 from loglattice.sinks.writers import documents as sink_documents
 from loglattice.sinks.writers import table_rows
-from loglattice.streaming.metrics import BATCH_BOUNDS, buckets, line_totals
+from loglattice.sources import logtail
+from loglattice.sources.offsets import OffsetStore
+from loglattice.streaming.metrics import BATCH_BOUNDS, SECOND_BOUNDS, buckets, line_totals
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -103,33 +107,47 @@ def fp_dedup_files(t):
     return tracking.first_paths(t("documents").select(fingerprints.file_id(F.col("text"), F.lit("checksum"), 256, "\n").alias("file_id"), path.alias("path")))
 
 
-def _listing(t, run: int) -> DataFrame:
-    rows = t("tracked_files").where((F.col("run_no") == run) & F.col("file_id").isNotNull())
+def _runs(t) -> tuple[DataFrame, DataFrame]:
+    """One row with the number of the open run, and one with that of the run before it."""
+    runs = t("collect_runs").select("run_no", "status")
+    now = runs.where("status = 'open'").agg(F.max("run_no").alias("run_no"))
+    return now, runs.join(F.broadcast(now.withColumnRenamed("run_no", "open_no")), F.col("run_no") < F.col("open_no")).agg(F.max("run_no").alias("run_no"))
+
+
+def _listing(t, run: DataFrame) -> DataFrame:
+    rows = t("tracked_files").where(F.col("file_id").isNotNull()).join(run, "run_no", "left_semi")
     return rows.groupBy("file_id").agg(F.min_by("strategy", F.struct("file_path", "listing_id")).alias("strategy"), F.min("file_path").alias("path"))
 
 
-_RUN = "select file_id, arg_min(strategy, (file_path, listing_id)) strategy, min(file_path) \"path\" from tracked_files where run_no = {} and file_id is not null group by 1"
-_BOTH = f"with old as ({_RUN.format(9)}), now as ({_RUN.format(10)}) "
+def _listings(t) -> tuple[DataFrame, DataFrame]:
+    """The listings of the open run and of the one before."""
+    now, before = _runs(t)
+    return _listing(t, now), _listing(t, before)
+
+
+_RUN = "select file_id, arg_min(strategy, (file_path, listing_id)) strategy, min(file_path) \"path\" from tracked_files where run_no = ({}) and file_id is not null group by 1"
+_OPEN_RUN = "select max(run_no) from collect_runs where status = 'open'"
+_BOTH = f"with old as ({_RUN.format(f'select max(run_no) from collect_runs where run_no < ({_OPEN_RUN})')}), now as ({_RUN.format(_OPEN_RUN)}) "
 
 
 @query(_BOTH + 'select file_id, "path" from now where file_id not in (select file_id from old)')
 def new_files(t):
-    return tracking.new_files(_listing(t, 10), _listing(t, 9)).select("file_id", "path")
+    return tracking.new_files(*_listings(t)).select("file_id", "path")
 
 
 @query(_BOTH + 'select file_id, "path" from old where file_id not in (select file_id from now)')
 def removed_files(t):
-    return tracking.removed_files(_listing(t, 10), _listing(t, 9)).select("file_id", "path")
+    return tracking.removed_files(*_listings(t)).select("file_id", "path")
 
 
 @query(_BOTH + ", o as (select id, strategy, arg_max(byte_offset, (updated_at, byte_offset)) b from stored_offsets group by 1, 2) select file_id, now.strategy, coalesce(b, 0) byte_offset from now left join o on o.id = file_id and o.strategy = now.strategy")
 def offset_restore(t):
-    return tracking.with_offsets(_listing(t, 10), t("stored_offsets")).select("file_id", "strategy", "byte_offset")
+    return tracking.with_offsets(_listings(t)[0], t("stored_offsets")).select("file_id", "strategy", "byte_offset")
 
 
 @query(_BOTH + 'select o."path", o.file_id, n.file_id current_id from old o left join now n on n."path" = o."path" where n.file_id is null or n.file_id <> o.file_id')
 def fp_verify(t):
-    return tracking.stale(_listing(t, 9), _listing(t, 10)).select("path", "file_id", "current_id")
+    return tracking.stale(*reversed(_listings(t))).select("path", "file_id", "current_id")
 
 
 @query("select file, count(*) n from line_events where regexp_matches(file, '(^|/)app-[^/]*\\.log$') or regexp_matches(file, '^/srv/edge-[0-9][0-9]/log/dmesg[^/]*$') group by 1")
@@ -137,6 +155,58 @@ def path_include(t):
     return t("line_events").groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(filters.path_matches(F.col("file"), ["app-*.log", "/srv/edge-[0-9][0-9]/log/dmesg*"]))
 
 
+@query("select file, count(*) n from line_events where starts_with(file, '/srv/core-01/') and not regexp_matches(file, '\\.csv$') group by 1")
+def path_folders(t):
+    """Folders as includes, which count where nothing more specific is included."""
+    return t("line_events").groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(filters.included(F.col("file"), ["/srv/core-01/"], ["*.csv"]))
+
+
+@query("select file, count(*) n from line_events where file like '%/audit.log' or regexp_matches(file, '(^|/)app-[^/]*$') group by 1")
+def path_specific(t):
+    """With a name and a glob the folder no longer counts."""
+    return t("line_events").groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(filters.included(F.col("file"), ["/srv/core-01/", "audit.log", "app-*"]))
+
+
+@query("with f as (select file_id, min(file_path) p from tracked_files where file_id is not null group by 1) select id, byte_offset, run_no, coalesce(p, '') \"path\" from stored_offsets left join f on f.file_id = id")
+def event_paths(t):
+    """The path under which a file is registered, for each row that names one."""
+    files = t("tracked_files").select("file_id", F.col("file_path").alias("path"))
+    return tracking.with_paths(t("stored_offsets").select(F.col("id").alias("file_id"), "byte_offset", "run_no"), files).withColumnRenamed("file_id", "id")
+
+
+_LAST = "select id, strategy, arg_max({}, (run_no, updated_at, created_at, byte_offset)) {} from stored_offsets where id is not null and strategy is not null and byte_offset is not null and run_no is not null group by 1, 2"
+
+
+@query(f"select a.id, a.strategy, a.b byte_offset, c.p \"path\" from ({_LAST.format('byte_offset', 'b')}) a join ({_LAST.format('file_path', 'p')}) c on c.id = a.id and c.strategy = a.strategy where a.strategy <> 'checksumSeperator'")
+def offset_store(t):
+    """What a store holds after the offsets of all runs were saved in three parts and one strategy was deleted."""
+    rows = t("stored_offsets").where("id is not null and strategy is not null and byte_offset is not null and run_no is not null")
+    store = OffsetStore(rows.sparkSession, work_path(rows.sparkSession, "offsets"), most=2)
+    thirds = rows.agg(F.min("run_no"), F.max("run_no")).first()
+    low, high = (thirds[0] or 0), (thirds[1] or 0)
+    for k in range(3):
+        part = rows.where((F.col("run_no") >= low + (high - low + 1) * k // 3) & (F.col("run_no") < low + (high - low + 1) * (k + 1) // 3))
+        last = F.max_by(F.struct("file_path", "byte_offset"), F.struct("run_no", "updated_at", "created_at", "byte_offset")).alias("l")
+        store.save(part.groupBy("id", "strategy").agg(last).select("id", "strategy", F.col("l.file_path").alias("path"), "l.byte_offset"))
+    store.delete(rows.where("strategy = 'checksumSeperator'").select("id", "strategy").distinct())
+    return store.load().select("id", "strategy", "byte_offset", "path")
+
+
+@query("select file, count(*) n, cast(sum(strlen(piece)) as bigint) n_bytes from (select file, unnest(string_split(raw, chr(10))) piece from raw_lines) where piece <> '' group by 1")
+def logtail_read(t):
+    """The lines of all files, written as text files to the shared folder and read by the log source, by file."""
+    rows = t("raw_lines").where("file is not null and raw is not null").select("file", "raw")
+    spark = rows.sparkSession
+    folder = work_path(spark, "logs")
+    rows.write.partitionBy("file").text(folder)
+    logtail.register(spark)
+    place = re.sub(r"\Afile:/*", "/", folder)
+    if ":" in place:
+        raise ValueError("the log source reads mounted folders only")
+    got = spark.read.format("logtail").options(include=place, exclude='[".*", "_*"]', fingerprintStrategy="deviceAndInode").load()
+    return got.groupBy(F.url_decode(F.regexp_extract("file", r"/file=([^/]*)/[^/]*\z", 1)).alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line")).alias("n_bytes"))
+
+
 @query("select file, count(*) n from line_events where not regexp_matches(file, '\\.csv$') and not regexp_matches(file, '(^|/)audit\\.log[^/]*$') group by 1")
 def path_exclude(t):
     return t("line_events").groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(~filters.path_matches(F.col("file"), ["*.csv", "audit.log*"]))
@@ -202,14 +272,16 @@ for _name, _mode in (("ml_continue_through", "continueThrough"), ("ml_continue_p
     _run.__name__ = _name
     query(_ml_sql(_mode))(_run)
 
-_FILE_LINES = "with l as (select file_id, byte_pos idx, arg_min(line, event_id) line from line_events where file_id is not null and byte_pos is not null and not contains(file, '.csv') group by 1, 2)"
+_FILE_LINES = "with l as (select case when file_id is null or byte_pos is null then 'event ' || event_id else file_id end file_id, case when file_id is null or byte_pos is null then 0 else byte_pos end idx, arg_min(line, event_id) line from line_events group by 1, 2)"
 _JAVA = MultilineOptions(java=True)
 
 
 @query(_ml_sql("continueThrough", _FILE_LINES, _JAVA.start_pattern, _JAVA.condition_pattern))
 def ml_java(t):
-    rows = t("line_events").where(F.col("file_id").isNotNull() & F.col("byte_pos").isNotNull() & ~F.contains("file", F.lit(".csv")))
-    rows = rows.groupBy("file_id", F.col("byte_pos").alias("idx")).agg(F.min_by("line", "event_id").alias("line"))
+    """Lines in their files; one without a place stands alone."""
+    placed = F.col("file_id").isNotNull() & F.col("byte_pos").isNotNull()
+    rows = t("line_events").select("event_id", "line", F.when(placed, F.col("file_id")).otherwise(F.concat(F.lit("event "), F.col("event_id"))).alias("file_id"), F.when(placed, F.col("byte_pos")).otherwise(0).alias("idx"))
+    rows = rows.groupBy("file_id", "idx").agg(F.min_by("line", "event_id").alias("line"))
     return multiline.grouped(rows, _JAVA, block_lines=1 << 20)
 
 
@@ -268,10 +340,10 @@ def audit_drop(t):
     return rows.where(filters.output_text(F.col("line"), audit.to_json(F.col("a")), F.col("a").isNotNull(), drop=True).isNotNull()).select("event_id")
 
 
-@query("select event_id, line from line_events where not contains(file, '.csv')")
+@query("select event_id, line from line_events")
 def audit_passthrough(t):
     """With the raw format, every line is passed on as it came."""
-    rows = audit.parsed(t("line_events").where(~F.contains("file", F.lit(".csv"))).select("event_id", "line"), "line", "a")
+    rows = audit.parsed(t("line_events").select("event_id", "line"), "line", "a")
     return rows.select("event_id", filters.output_text(F.col("line"), audit.to_json(F.col("a")), F.col("a").isNotNull(), "raw").alias("line"))
 
 
@@ -317,6 +389,18 @@ def dmesg_absolute(t):
     return _kernel(t).where(F.col("d.absolute_time").isNotNull()).select("event_id", F.unix_micros("d.absolute_time").alias("absolute_us"))
 
 
+_DOUBLE = "regexp_replace(cast(cast(ts as decimal(38, 9)) as varchar), '[.]?0+$', '')"
+_DM_JSON = r"""
+select event_id, replace(replace(replace('{"raw":' || cast(to_json(x) as varchar) || ',"timestamp":' || """ + _DOUBLE + r""" || case when facility <> 0 then ',"facility":' || facility else '' end || case when priority <> 0 then ',"priority":' || priority else '' end
+ || ',"subsystem":"' || """ + _SUB + r""" || '","message":' || cast(to_json(message) as varchar) || coalesce(case when ok then ',"absolute_time":"' || regexp_replace(strftime(make_timestamp(epoch_us(boot_time) + cast(floor(ts * 1000000) as bigint)), '%Y-%m-%dT%H:%M:%S.%f'), '[.]?0+$', '') || 'Z"' end, '') || '}',
+ '<', '\u003c'), '>', '\u003e'), '&', '\u0026') "json" from d"""
+
+
+@query(_DMESG + _DM_JSON)
+def dmesg_json(t):
+    return _kernel(t).select("event_id", dmesg.to_json(F.col("d")).alias("json"))
+
+
 _ACCESS = csv.CsvOptions(has_headers=True, detect_types=True)
 _FIELD = r'[ \t]*("[^"]*(?:""[^"]*)*"|[^",]*)'
 _CSV = rf"""with t as (select file, line_no, {_TRIM.format('raw')} x from raw_lines), n as (select *, row_number() over (partition by file order by line_no) ln from t where x <> ''),
@@ -353,10 +437,32 @@ def csv_quoted(t):
     return _csv_rows(t).where(F.col("error").isNotNull()).select("file_id", "line_number", "error")
 
 
-@query(_CSV + "select \"key\", count(*) n from l where \"key\" like 'extra_field_%' group by 1")
+@query(_CSV + "select \"key\", 'extra' what, count(*) n from l where \"key\" like 'extra_field_%' group by 1 union all select \"key\", 'missing', count(*) from (select nm[i] \"key\" from y, unnest(range(len(cs) + 1, len(nm) + 1)) u(i) where ok) group by 1")
 def csv_extra_missing(t):
-    rows = csv.fields(_csv_rows(t), csv.CsvOptions(has_headers=True))
-    return rows.where(F.col("key").startswith("extra_field_")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """How often cells are beyond the header, and how often names of the header have no cell."""
+    rows = _csv_rows(t)
+    extra = csv.fields(rows, csv.CsvOptions(has_headers=True)).where(F.col("key").startswith("extra_field_")).select("key", F.lit("extra").alias("what"))
+    lacking = rows.where("error is null").select(F.explode(F.slice("known", F.size("cells") + 1, F.greatest(F.size("known") - F.size("cells"), F.lit(0)))).alias("key"), F.lit("missing").alias("what"))
+    return extra.unionByName(lacking).groupBy("key", "what").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_CSV + """, j as (select file_id, line_number, string_agg(cast(to_json("key") as varchar) || ':' || cast(to_json("value") as varchar), ',' order by "key") fs from l group by 1, 2)
+select y.file_id, y.line_number, replace(replace(replace('{"raw":' || cast(to_json(raw) as varchar) || ',"fields":{' || fs || '},"line_number":' || y.line_number || '}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') "json" from y join j on j.file_id = y.file_id and j.line_number = y.line_number""")
+def csv_json(t):
+    return csv.to_json(_csv_rows(t), csv.CsvOptions(has_headers=True))
+
+
+@query(_CSV + "select distinct file_id, len(nm) n_headers, nm[1] first_header from y where nm is not null")
+def csv_headers(t):
+    return csv.headers(_csv_rows(t)).where(F.col("headers").isNotNull()).select("file_id", F.size("headers").cast("long").alias("n_headers"), F.get("headers", F.lit(0)).alias("first_header"))
+
+
+@query(_CSV + f", v as (select *, {_KIND} kind from l) select file_id, line_number, \"key\", case when kind = 'bool' then case when lower({_V}) in ('true','yes','1','on') then 'true' else 'false' end when kind = 'int' then cast(try_cast({_V} as bigint) as varchar) else \"value\" end string_value, case when kind in ('int', 'float') then try_cast({_V} as double) end float_value from v where \"key\" <> 'timestamp' and not (kind = 'float' and regexp_matches(lower({_V}), 'inf|nan|x'))")
+def csv_values(t):
+    """Cells as texts and as doubles, but the times and the numbers that are infinite or none."""
+    rows = csv.fields(_csv_rows(t), _ACCESS).where((F.col("key") != "timestamp") & ~((F.col("kind") == "float") & F.lower("value").rlike("inf|nan|x")))
+    double = F.when(F.col("kind").isin("int", "float"), csv.float_field(F.col("value"), F.col("kind")))
+    return rows.select("file_id", "line_number", "key", csv.string_field(F.col("value"), F.col("kind")).alias("string_value"), double.alias("float_value"))
 
 
 @query(_CSV + "select file_id, line_number, strftime(try_strptime(\"value\", '%Y-%m-%d %H:%M:%S'), '%Y-%m-%dT%H:%M:%SZ') \"value\" from l where \"key\" = 'timestamp' and regexp_full_match(\"value\", '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}') and try_strptime(\"value\", '%Y-%m-%d %H:%M:%S') is not null")
@@ -382,9 +488,9 @@ def sink_rows_ch(t):
     return table_rows(lines, "collector-1", {"env": "prod"}, F.col("ts")).select("ts", "host", F.col("labels")["env"].alias("env"), "message")
 
 
-@query("select strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' stamp, line message, 'collector-1' host from line_events where ts is not null and contains(line, 'ERROR')")
+@query("select strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' stamp, line message, 'collector-1' host from line_events where not contains(line, 'DEBUG')")
 def sink_docs_os(t):
-    lines = t("line_events").where(F.col("ts").isNotNull() & filters.allowed(F.col("line"), ["ERROR"]))
+    lines = t("line_events").where(filters.allowed(F.col("line"), [], ["DEBUG"]))
     doc = sink_documents(lines, "collector-1", {"env": "prod"}, F.col("ts"))
     get = lambda k: F.get_json_object("doc", f"$['{k}']")
     return doc.select(get("@timestamp").alias("stamp"), get("message").alias("message"), get("host").alias("host"))
@@ -420,6 +526,43 @@ def alerts(t):
     return t("access_log").where((F.col("status") >= 400) | (F.col("bytes") > 10000)).select("event_id", "status", "bytes")
 
 
+@query("select event_id, case when status >= 400 then 'http_error' end a, case when bytes > 10000 then 'large_response' end b from access_log where status >= 400 or bytes > 10000")
+def alerts_access(t):
+    found = filters.alerts({"status": F.col("status"), "bytes": F.col("bytes")})
+    has = lambda n: F.when(F.array_contains("found", n), n)
+    return t("access_log").select("event_id", found.alias("found")).where(F.size("found") > 0).select("event_id", has("http_error").alias("a"), has("large_response").alias("b"))
+
+
+@query("select 'high_temperature' alert, count(*) n from events where value > 30 union all select 'low_humidity', count(*) from events where user_id < 30 union all select 'high_value', count(*) from events where value > 100")
+def alerts_sensors(t):
+    """Sensor rules on the numbers of the events table."""
+    found = filters.alerts({"temperature": F.col("value"), "humidity": F.col("user_id"), "value": F.col("value")})
+    names = t("events").sparkSession.createDataFrame([(n,) for n in ("high_temperature", "low_humidity", "high_value")], "alert string")
+    told = t("events").select(F.explode(found).alias("found")).groupBy("found").agg(F.count(F.lit(1)).alias("n"))
+    return names.join(told, F.col("alert") == F.col("found"), "left").select("alert", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(_DMESG + f"select event_id, {_SUB} = 'usb' usb, priority = 3 kernel_error from d where {_SUB} = 'usb' or priority = 3")
+def alerts_kernel(t):
+    found = filters.alerts({"subsystem": F.col("d.subsystem"), "priority_name": dmesg.priority_name(F.col("d.priority"))})
+    rows = _kernel(t).select("event_id", found.alias("found")).where(F.size("found") > 0)
+    return rows.select("event_id", *(F.array_contains("found", n).alias(n) for n in ("usb", "kernel_error")))
+
+
+@query("select file, coalesce(bool_or(contains(line, 'timeout')), false) timed_out, coalesce(bool_or(contains(line, 'startup line')), false) started from line_events group by 1")
+def markers(t):
+    return t("line_events").groupBy("file").agg(*filters.markers(F.col("line"), {"timed_out": "timeout", "started": "startup line"}))
+
+
+_SECONDS = ", ".join(f"'{b}'" for b in SECOND_BOUNDS)
+
+
+@query(f"with b as (select duration n from access_log where not isnan(duration)) select le, count(*) filter (n <= try_cast(le as double)) n from b, unnest([{_SECONDS}]) u(le) group by le union all select '+Inf', count(n) from b")
+def duration_histogram(t):
+    seconds = t("access_log").where(~F.isnan("duration"))
+    return seconds.agg(buckets(F.col("duration"), SECOND_BOUNDS).alias("b")).select(F.explode("b").alias("b")).select("b.le", "b.n")
+
+
 @query(_AUDIT + ", hosts as (select event_id, host_name from line_events) select host_name, ty rec_type, count(*) n, count(distinct serial) n_serials, max(epoch_sec) last_sec from h join hosts using (event_id) group by 1, 2")
 def flagship(t):
     """Audit lines of all files: parsed, joined with their events, and summed up by host and type."""

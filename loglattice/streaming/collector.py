@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from loglattice.functions import audit
 from loglattice.operators.filters import allowed, output_text
@@ -43,20 +44,21 @@ class Collector:
         c = self.o.collector
         return reader.format("logtail").options(
             include=json.dumps(c.include), exclude=json.dumps(c.exclude), separator=c.separator, fingerprintStrategy=c.fingerprint_strategy,
-            fingerprintSize=str(c.fingerprint_size or 1024), keepBlank=str(blank).lower(), rest=str(rest).lower(), startOffsets=json.dumps(start or {}),
+            fingerprintSize=str(c.fingerprint_size or 1024), workers=str(16 * max(1, c.workers)), maxBytes=str(c.max_batch_bytes), keepBlank=str(blank).lower(), rest=str(rest).lower(), startOffsets=json.dumps(start or {}),
         )
 
-    def _deliver(self, events: DataFrame) -> None:
-        events = events.persist()
+    def _deliver(self, events: DataFrame, batch: int | None = None) -> None:
+        """Hands a batch on. Each event has a ``key``, from the file and the byte where it begins: the same if it comes again."""
+        events = events.withColumn("key", F.sha2(F.concat_ws("#", "file_id", F.col("byte_pos").cast("string")), 256)).persist()
         name, s = ("events" if self.on_events else self.o.sink.type or "stdout"), self.o.sink
         try:
             lines = events if self.on_events else parsed_lines(events, self.o.parser)
             self.metrics.lines(lines, F.lit(True) if self.on_events else allowed(F.col("line"), s.include, s.exclude), name)
             with self.metrics.flush(name):
                 if self.on_events:
-                    self.on_events(events)
+                    self.on_events(events.select("line", "file", "ts"))
                 elif self.sink:
-                    self.sink(lines)
+                    self.sink(lines, batch)
                 else:
                     for row in lines.select("line").toLocalIterator():
                         print(row["line"])
@@ -78,13 +80,15 @@ class Collector:
         if m:
             paths = rows.groupBy("file_id").agg(F.min("file").alias("file"))
             records = grouped(rows.select("file_id", F.col("byte_pos").alias("idx"), "line"), m, block_lines=1 << 26)
-            events = records.join(paths, "file_id").select(F.col("record").alias("line"), "file", F.current_timestamp().alias("ts"))
+            events = records.join(paths, "file_id").select(F.col("record").alias("line"), "file", "file_id", F.col("first_idx").alias("byte_pos"), F.current_timestamp().alias("ts"))
         try:
-            self._deliver(events.select("line", "file", "ts"))
+            self._deliver(events.select("line", "file", "ts", "file_id", "byte_pos"))
+            found = listing(c.include, c.exclude, c.fingerprint_strategy, c.fingerprint_size or 1024, c.separator, 16 * max(1, c.workers))
+            self.metrics.files({f.file_id for f in found}, set(known))
             if store:
                 read = rows.groupBy(F.col("file_id").alias("id")).agg(F.max("end_pos").alias("byte_offset"), F.min("file").alias("path"))
                 store.save(read.withColumn("strategy", F.lit(c.fingerprint_strategy)))
-                now = {f.file_id for f in listing(c.include, c.exclude, c.fingerprint_strategy, c.fingerprint_size or 1024, c.separator)}
+                now = {f.file_id for f in found}
                 if gone := [(k, c.fingerprint_strategy) for k in known if k not in now]:
                     store.delete(self.spark.createDataFrame(gone, "id string, strategy string"))
         finally:
@@ -93,14 +97,56 @@ class Collector:
     def start(self, available_now: bool = False):
         """A running query; offsets are committed after the batch was delivered."""
         m = self.o.collector.multiline
-        rows = self._source(self.spark.readStream, bool(m)).load()
+        rows = self._source(self.spark.readStream, bool(m), start=self._reached()).load()
         if m:
-            rows = grouped_stream(rows, m).select(F.col("record").alias("line"), "file", F.current_timestamp().alias("ts"))
-        writer = rows.select("line", "file", "ts").writeStream.option("checkpointLocation", self.checkpoint).foreachBatch(lambda df, _: self._deliver(df))
+            rows = grouped_stream(rows, m).select(F.col("record").alias("line"), "file", "file_id", "byte_pos", F.current_timestamp().alias("ts"))
+        writer = rows.select("line", "file", "ts", "file_id", "byte_pos").writeStream.option("checkpointLocation", self.checkpoint).foreachBatch(self._deliver)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{max(1, int(self.o.collector.poll_interval * 1000))} milliseconds")
         self.query = writer.start()
+        self.listener = _Files(self.metrics, str(self.query.id))
+        self.spark.streams.addListener(self.listener)
         return self.query
 
+    def _reached(self) -> dict[str, int]:
+        """Where the stream of this checkpoint stands, so that the first batch after a restart is bounded too."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.checkpoint}/offsets")
+        fs = folder.getFileSystem(conf)
+        if not fs.exists(folder):
+            return {}
+        batches = [int(n) for s in fs.listStatus(folder) if (n := s.getPath().getName()).isdigit()]
+        if not batches:
+            return {}
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, str(max(batches))))
+        try:
+            last = bytes(stream.readAllBytes()).decode().strip().split("\n")[-1]
+        finally:
+            stream.close()
+        return {k: v[1] for k, v in json.loads(last).items()} if last.startswith("{") else {}
+
     def stop(self) -> None:
         if self.query:
             self.query.stop()
+            self.spark.streams.removeListener(self.listener)
+            self.query = None
+
+
+class _Files(StreamingQueryListener):
+    """Counts the files of a query from the offsets it reports: these hold each file of the last listing."""
+
+    def __init__(self, metrics: Metrics, query_id: str):
+        self.metrics, self.query_id = metrics, query_id
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if str(p.id) == self.query_id and p.sources and p.sources[0].endOffset:
+            self.metrics.files(set(json.loads(p.sources[0].endOffset)))

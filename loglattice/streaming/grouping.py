@@ -12,7 +12,7 @@ from loglattice.operators.multiline import Machine
 from loglattice.options import MultilineOptions
 from loglattice.session import ship
 
-SCHEMA = "file_id string, file string, record string"
+SCHEMA = "file_id string, file string, byte_pos long, record string"
 #: The state store that timers need.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,27 +25,33 @@ class Grouping(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "file string, lines array<string>")
+        self.held = handle.getValueState("held", "file string, lines array<string>, began long")
 
-    def _out(self, key, file, records: list[str]) -> Iterator[pd.DataFrame]:
+    def _out(self, key, file, records: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
         if records:
-            yield pd.DataFrame({"file_id": [key[0]] * len(records), "file": [file] * len(records), "record": records})
+            yield pd.DataFrame({"file_id": [key[0]] * len(records), "file": [file] * len(records), "byte_pos": [p for p, _ in records], "record": [r for _, r in records]})
 
     def _timers(self) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """A file's new lines in order of their bytes; how many there can be is bounded by the source's maxBytes."""
         machine, records = Machine(self.options), []
         old = self.held.get() if self.held.exists() else None
-        machine.lines = list(old[1]) if old else []
+        machine.lines, began = (list(old[1]), old[2]) if old else ([], 0)
         frame = pd.concat(list(rows)).sort_values("byte_pos", kind="stable")
-        for line in frame["line"]:
-            records += machine.feed(line or "")
+        for line, at in zip(frame["line"], frame["byte_pos"]):
+            began = began if machine.lines else int(at)
+            done = machine.feed(line or "")
+            for k, record in enumerate(done):  # the first of two was open before, the other is this line
+                records.append((began if k == 0 else int(at), record))
+            if done and machine.lines:
+                began = int(at)
         file = frame["file"].iloc[-1]
         self._timers()
         if machine.lines:
-            self.held.update((file, machine.lines))
+            self.held.update((file, machine.lines, began))
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.options.timeout * 1000))
         else:
             self.held.clear()
@@ -53,16 +59,16 @@ class Grouping(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.held.exists():
-            file, lines = self.held.get()
+            file, lines, began = self.held.get()
             self.held.clear()
-            yield from self._out(key, file, ["\n".join(lines)] if "\n".join(lines) else [])
+            yield from self._out(key, file, [(began, "\n".join(lines))] if "\n".join(lines) else [])
 
     def close(self) -> None:
         pass
 
 
 def grouped_stream(lines: DataFrame, options: MultilineOptions) -> DataFrame:
-    """(file_id, file, record) of a stream of logtail rows (read with keepBlank)."""
+    """(file_id, file, byte_pos, record) of a stream of logtail rows (read with keepBlank); byte_pos is where the record begins."""
     options.validate()
     ship(lines.sparkSession)
     lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)

@@ -19,10 +19,10 @@ SECOND_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
 def line_totals(lines: DataFrame, line: str = "line", kept: Column | None = None) -> DataFrame:
     """(lines_total, bytes_total): records and their bytes, without separators; blank ones count for nothing.
 
-    With a filter, also the lines it keeps and the number of files (by a column ``file``).
+    With a filter, also the lines it keeps.
     """
     some = lines.where(F.length(line) > 0)
-    more = [] if kept is None else [F.coalesce(F.sum(kept.cast("long")), F.lit(0)).alias("kept"), F.countDistinct("file").alias("files")]
+    more = [] if kept is None else [F.coalesce(F.sum(kept.cast("long")), F.lit(0)).alias("kept")]
     return some.agg(F.count(F.lit(1)).alias("lines_total"), F.coalesce(F.sum(F.octet_length(line)), F.lit(0)).cast("long").alias("bytes_total"), *more)
 
 
@@ -35,7 +35,7 @@ class Metrics:
     """Named counters with labels, safe to use from several threads."""
 
     def __init__(self):
-        self._lock, self.values, self.batch = threading.Lock(), defaultdict(float), 0
+        self._lock, self.values, self.batch, self.seen = threading.Lock(), defaultdict(float), 0, set()
 
     def add(self, name: str, amount: float = 1, **labels: str) -> None:
         if amount > 0:
@@ -50,15 +50,20 @@ class Metrics:
         self.add(f"{name}_count", 1, **labels)
 
     def lines(self, events: DataFrame, kept: Column, sink: str) -> None:
-        """Counts a batch: lines and bytes, files, and what the sink's filter lets through or drops; one pass."""
+        """Counts a batch: lines and bytes, and what the sink's filter lets through or drops; one pass."""
         row = line_totals(events, kept=kept).first()
         self.add("lines_total", row["lines_total"])
         self.add("bytes_total", row["bytes_total"])
-        self.set("active_files", row["files"])
         self.add("sink_enqueued_total", row["kept"], sink=sink)
         self.add("sink_dropped_total", row["lines_total"] - row["kept"], sink=sink, reason="filtered")
         self.batch = int(row["kept"])
 
+    def files(self, live: set[str], before: set[str] = frozenset()) -> None:
+        """Sets the gauge of files that are there, and counts those that were in no earlier listing nor in ``before``."""
+        self.set("active_files", len(live))
+        self.add("files_seen_total", len(live - self.seen - before))
+        self.seen = set(live)
+
     def set(self, name: str, value: float, **labels: str) -> None:
         with self._lock:
             self.values[name, tuple(sorted(labels.items()))] = value

@@ -29,7 +29,7 @@ def test_dmesg(spark):
     assert at == datetime(2023, 12, 1, 10, 1, 40, 500000)
     names = spark.range(1).select(dmesg.priority_name(F.lit(3)), dmesg.priority_name(F.lit(99)), dmesg.facility_name(F.lit(23)), dmesg.facility_name(F.lit(16)), dmesg.facility_name(F.lit(99))).first()
     assert tuple(names) == ("error", "unknown", "local7", "local0", "unknown")
-    assert one(spark, "<6>[1.5] usb: x", lambda c: dmesg.to_json(dmesg.parse(c))) == '{"raw":"<6>[1.5] usb: x","timestamp":1.5,"priority":6,"subsystem":"usb","message":"usb: x"}'
+    assert one(spark, "<6>[1.5] usb: x", lambda c: dmesg.to_json(dmesg.parse(c))) == r'{"raw":"\u003c6\u003e[1.5] usb: x","timestamp":1.5,"priority":6,"subsystem":"usb","message":"usb: x"}'
 
 
 def tokens(s):
@@ -143,3 +143,28 @@ def test_dmesg_numbers_that_overflow(spark):
     assert r["absolute_time"] is None and r["timestamp"] == 1e20 and r["message"] == "x"
     r = one(spark, "<" + "9" * 40 + ">[" + "9" * 400 + "] x", lambda c: dmesg.parse(c, F.lit(datetime(2023, 12, 1, 10))))
     assert r["absolute_time"] is None and r["priority"] == 0
+
+
+def test_csv_records_as_json_and_maps(spark):
+    lines = [("f", 1, "a,b,t"), ("f", 2, ' yes ,1e2,2024-03-05 10:00:00'), ("f", 3, '"x<&>""y",,inf,7'), ("f", 4, 'broken"'), ("f", 5, "0")]
+    df = spark.createDataFrame(lines, "f string, n int, line string")
+    o = csv.CsvOptions(has_headers=True, detect_types=True)
+    rows = csv.parsed(df, "f", "n", "line", o)
+    got = {r["line_number"]: r["json"] for r in csv.to_json(rows, o).collect()}
+    esc = lambda t: t.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
+    assert got == {
+        2: '{"raw":"yes ,1e2,2024-03-05 10:00:00","fields":{"a":true,"b":100,"t":"2024-03-05T10:00:00.000000Z"},"line_number":2}',
+        3: esc('{"raw":"\\"x<&>\\"\\"y\\",,inf,7","fields":{"a":"x<&>\\"y","b":"","extra_field_4":7,"t":"inf"},"line_number":3}'), 5: '{"raw":"0","fields":{"a":false},"line_number":5}',
+    }
+    maps = {r["line_number"]: r["fields"] for r in csv.as_maps(rows).collect()}
+    assert maps[5] == {"a": "0"} and maps[3]["extra_field_4"] == "7"
+    assert csv.headers(rows).first()["headers"] == ["a", "b", "t"] and csv.to_json(rows.limit(0), o).count() == 0
+    values = {(r["line_number"], r["key"]): r["v"] for r in csv.fields(rows, o).select("line_number", "key", csv.string_field(F.col("value"), F.col("kind")).alias("v")).collect()}
+    assert values[2, "a"] == "true" and values[3, "extra_field_4"] == "7" and values[3, "b"] == ""
+
+
+def test_dmesg_json(spark):
+    boot = lambda c: dmesg.to_json(dmesg.parse(c, F.lit(datetime(2023, 12, 1, 10))))
+    assert one(spark, "[12.000000] x", boot) == '{"raw":"[12.000000] x","timestamp":12,"subsystem":"","message":"x","absolute_time":"2023-12-01T10:00:12Z"}'
+    assert one(spark, "<30>[12345678.250000] a: x", boot).endswith('"timestamp":12345678.25,"facility":3,"priority":6,"subsystem":"a","message":"a: x","absolute_time":"2024-04-22T07:21:18.25Z"}')
+    assert one(spark, "no stamp", boot) == '{"raw":"no stamp","timestamp":0,"subsystem":"","message":"no stamp"}'

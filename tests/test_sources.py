@@ -256,6 +256,64 @@ def test_network_sinks(spark, server):
     assert "CREATE+TABLE" in seen[0][0] and "db.logs" in seen[1][0] and [json.loads(x)["message"] for x in seen[1][1].splitlines()] == [f"m{i}" for i in range(5)]
 
 
+def test_repeated_batches(spark, server, tmp_path):
+    port, seen = server
+    lines = spark.createDataFrame([(f"m{i}", f"k{i}") for i in range(5)], "line string, key string").repartition(2)
+    for o, ask in (
+        (opt.SinkOptions("opensearch", batch_size=2, opensearch={"url": f"http://127.0.0.1:{port}", "index": "logs"}), lambda p, b: sorted(json.loads(x)["index"]["_id"] for x in b.splitlines()[::2])),
+        (opt.SinkOptions("clickhouse", batch_size=2, clickhouse={"addr": f"127.0.0.1:{port}", "table": "logs"}), lambda p, b: p.partition("insert_deduplication_token=")[2]),
+    ):
+        sink, told = writers.build(o), []
+        for _ in range(2):
+            seen.clear()
+            sink(lines, 7)
+            told.append(sorted(map(str, (ask(p, b) for p, b, _ in seen))))
+        assert told[0] == told[1] and all(told[0]) and len(set(told[0])) >= 3
+    file = writers.build(opt.SinkOptions("file", file={"path": str(tmp_path / "out")}))
+    texts = lambda: sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect())
+    one = lambda *x: spark.createDataFrame([(v,) for v in x], "line string")
+    file(one("old"), 3)
+    file(one("a", "b"), 0)  # a new stream
+    file(one("c"), 1)
+    file(one("c"), 1)
+    writers.build(opt.SinkOptions("file", file={"path": str(tmp_path / "out")}))(one("d"), 2)  # after a restart
+    assert texts() == ["a", "b", "c", "d"]
+
+
+def test_batches_end_by_size_or_interval():
+    assert list(writers._batches(iter("abcde"), 2)) == [["a", "b"], ["c", "d"], ["e"]]
+    now = iter(range(0, 100, 4))
+    assert max(map(len, writers._batches(iter("abcdefgh"), 100, 10, lambda: next(now)))) < 8
+
+
+def test_files_are_counted():
+    m = Metrics()
+    m.files({"a", "b"}, {"b"})
+    m.files({"a", "c"})
+    assert m.values["files_seen_total", ()] == 2 and m.values["active_files", ()] == 2
+
+
+def test_public_names():
+    import loglattice
+
+    assert loglattice.Collector is Collector and loglattice.FileTracker is d.FileTracker and all(getattr(loglattice, n) is not None for n in loglattice.__all__)
+    with pytest.raises(AttributeError):
+        loglattice.nothing
+
+
+def test_path_filters_and_alerts(spark):
+    from loglattice.operators import filters
+
+    paths = ["/a/x.log", "/a/b/y.txt", "/c/x.log", "/ab/z", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    kept = lambda *a: [r["p"] for r in df.where(filters.included(F.col("p"), *a)).collect()]
+    assert kept(["/a/"]) == ["/a/x.log", "/a/b/y.txt"] and kept(["/a/", "z"]) == ["/ab/z"] and kept(["/a/", "*.txt"]) == ["/a/b/y.txt"] and kept(["/c/x.log"], ["x*"]) == []
+    rows = spark.createDataFrame([(400, 1, None), (200, 10001, 31.0), (None, None, 30.0)], "s int, b int, t double")
+    found = [r[0] for r in rows.select(filters.alerts({"status": F.col("s"), "bytes": F.col("b"), "temperature": F.col("t")})).collect()]
+    assert found == [["http_error"], ["large_response", "high_temperature"], []] and rows.select(filters.alerts({})).first()[0] == []
+    assert df.limit(0).agg(*filters.markers(F.col("p"), {"x": "x"})).first()["x"] is False and df.agg(*filters.markers(F.col("p"), {"x": "y.t"})).first()["x"] is True
+
+
 def test_console_and_no_sink(spark, capsys):
     df = spark.createDataFrame([("a",), ("drop b",)], "line string")
     writers.build(opt.SinkOptions("console", exclude=["drop"]))(df)
