@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,27 +54,64 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-def _remove(sc, path: str) -> None:
-    """Deletes an intermediate table when the driver ends in order; a later run never needs it."""
-    try:
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may have been stopped before
-        pass
+def _delete(sc, paths: set[str]) -> None:
+    """Deletes intermediate tables; a later run never needs them."""
+    for path in sorted(paths):
+        try:
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may have been stopped before
+            pass
+
+
+_WORK: dict[str, set[str]] = {}
+_SCRATCH: list[set[str]] = []
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed at the end of the driver."""
+    """A new path below the shared folder, removed at the end of the driver, of the ``scratch`` around it, or by ``discard``."""
     path = f"{shared_dir(spark)}/loglattice/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark.sparkContext, path)
+    sc = spark.sparkContext
+    if sc.applicationId not in _WORK:
+        _WORK[sc.applicationId] = set()
+        atexit.register(_delete, sc, _WORK[sc.applicationId])
+    _WORK[sc.applicationId].add(path)
+    for held in _SCRATCH:
+        held.add(path)
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: lineage is cut and survives lost executors."""
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes intermediate tables that nothing will read again."""
+    _delete(spark.sparkContext, set(paths))
+    for held in (_WORK.get(spark.sparkContext.applicationId, set()), *_SCRATCH):
+        held.difference_update(paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediate tables made within it: results have to be written or collected before.
+
+    For drivers that run for long; others delete theirs when they end.
+    """
+    held: set[str] = set()
+    _SCRATCH.append(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(held)
+        discard(spark, *held)
+
+
+def materialised(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df``, written once to the shared folder and read back, and its path: lineage is cut and survives lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return materialised(df, name)[0]
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

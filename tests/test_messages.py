@@ -65,7 +65,7 @@ def test_whole_table(spark, table):
 
 def test_deliveries_keep_one_copy_in_all(spark):
     keys = [(i, f"k{i % 40}", 0) for i in range(1, 301)]
-    store, kept = messages.SeenMessages(spark, work_path(spark, "seen"), shards=4), []
+    store, kept = messages.SeenMessages(spark, work_path(spark, "seen")), []
     for part in range(3):
         rows = [k for k in keys if (k[0] // 7) % 3 == part]
         df = spark.createDataFrame(rows, "event_id long, k_a string, k_b long")
@@ -80,7 +80,7 @@ def test_deliveries_keep_one_copy_in_all(spark):
 
 
 def test_many_deliveries_and_late_retries(spark, monkeypatch):
-    store, schema = messages.SeenMessages(spark, work_path(spark, "seen"), shards=2), "event_id long, k_a string, k_b long"
+    store, schema = messages.SeenMessages(spark, work_path(spark, "seen")), "event_id long, k_a string, k_b long"
     make = lambda part: spark.createDataFrame([(10 * part + 1, f"k{part}", 0), (10 * part + 2, "all", 0)], schema)
     kept = lambda df: sorted(r["event_id"] for r in df.collect() if r["new"] and r["event_id"] == r["keep_id"])
 
@@ -111,7 +111,7 @@ def test_deliveries_know_only_what_came_before(spark):
     ]
     rows, orders = [*ROWS, *more], [lambda e: 0 if e in (30, 33, 34) else 1 if e in (31, 35) or e % 2 else 2, lambda e: (e * 7 + e // 5) % 3]
     for order in orders:
-        store, before = messages.SeenMessages(spark, work_path(spark, "seen"), shards=2), []
+        store, before = messages.SeenMessages(spark, work_path(spark, "seen")), []
         for part in range(3):
             now = [r for r in rows if order(r[0]) == part]
             first = brute(before + now)  # the rows of a later delivery are not known yet
@@ -126,7 +126,7 @@ def test_deliveries_know_only_what_came_before(spark):
 
 
 def test_a_first_delivery_tests_its_bits(spark, monkeypatch):
-    store, tested = messages.SeenMessages(spark, work_path(spark, "seen"), shards=2), []
+    store, tested = messages.SeenMessages(spark, work_path(spark, "seen")), []
     bit_at = messages.bit_at
     monkeypatch.setattr(messages, "bit_at", lambda *a: tested.append(1) or bit_at(*a))
     got = store.deliver(spark.createDataFrame([(1, "a", 0), (2, "a", 0)], "event_id long, k_a string, k_b long"), "0").collect()
