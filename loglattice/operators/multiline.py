@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.options import CONTINUE_PAST, CONTINUE_THROUGH, HALT_BEFORE, HALT_WITH, MultilineOptions
+from loglattice.session import materialise
 
 #: A step: what a line does to the state.
 CLOSE, OPEN, KEEP, TURN = 0, 1, 2, 3
@@ -32,59 +33,90 @@ def _steps(rows: DataFrame, o: MultilineOptions) -> DataFrame:
     return rows.withColumn("__step", step)
 
 
-def _state(rows: DataFrame, keys: list[str], order: str, before: Column, out: str) -> DataFrame:
-    """Adds ``out``: the state (0, 1) after each row, from its step and the state before the first row."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    sets, step = F.col("__step") <= OPEN, F.col("__step")
-    rows = rows.withColumn("__set", F.last(F.when(sets, step), True).over(w)).withColumn("__turns", F.sum((step == TURN).cast("long")).over(w))
-    rows = rows.withColumn("__then", F.last(F.when(sets, F.col("__turns")), True).over(w))
-    value = (F.coalesce("__set", before) + F.col("__turns") - F.coalesce("__then", F.lit(0))) % 2
-    return rows.withColumn(out, value.cast("int"))
+def _before(rows: DataFrame, keys: list[str], order: str, outs: dict[str, Column], turns: bool = True) -> DataFrame:
+    """Adds, by name, the state (0, 1) before each row, from the steps of earlier rows and a state before the first; and
+
+    __known: whether any earlier row has set it. ``turns``: whether there are steps that turn it.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    step = F.col("__step")
+    last = F.last(F.when(step <= OPEN, step), True).over(before)
+    if not turns:
+        rows = rows.withColumn("__last", last)
+        return rows.withColumns({name: F.coalesce("__last", entry).cast("int") for name, entry in outs.items()} | {"__known": F.col("__last").isNotNull()}).drop("__last")
+    rows = rows.withColumn("__turns", F.sum((step == TURN).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"__last": last, "__then": F.last(F.when(step <= OPEN, F.col("__turns")), True).over(before)})
+    since = F.col("__turns") - (step == TURN).cast("int") - F.coalesce("__then", F.lit(0))
+    return rows.withColumns({name: ((F.coalesce("__last", entry) + since) % 2).cast("int") for name, entry in outs.items()} | {"__known": F.col("__last").isNotNull()}).drop("__last", "__turns", "__then")
+
+
+def _then(was: Column) -> Column:
+    """The state after a row, by the state before it."""
+    step = F.col("__step")
+    return F.when(step <= OPEN, step).when(step == TURN, 1 - was).otherwise(was)
 
 
 def grouped(rows: DataFrame, options: MultilineOptions, block_lines: int = 100_000) -> DataFrame:
-    """(file_id, rec_no, first_idx, n_lines, record): the logical records of (file_id, idx, line).
+    """(file_id, first_idx, n_lines, record): the logical records of (file_id, idx, line).
 
     Lines of a record are joined by a line feed. In an unknown mode each line is a record, but blank ones are lost
     while a record is open. A blank line that matches the start pattern is lost where it would begin a record. Lines
     that are null count as blank. What is open at the end of a file is given out.
+
+    Lines meet once, by block of their file, and are grouped there for both states the block may be entered in. One row
+    for each block then tells which state it was, and only records at the edges of blocks are put together again.
     """
     rows = rows.select("file_id", F.col("idx").cast("long").alias("idx"), F.coalesce("line", F.lit("")).alias("line"))
     rows = _steps(rows.withColumn("__block", F.call_function("div", F.col("idx"), F.lit(block_lines))), options)
-    local = _state(rows, ["file_id", "__block"], "idx", F.lit(0), "__local")
-    last = F.struct("idx", "__local", (F.col("__set").isNotNull()).alias("sets"))
-    blocks = local.groupBy("file_id", "__block").agg(F.max(last).alias("l"))
-    blocks = blocks.select("file_id", "__block", F.when(F.col("l.sets"), F.col("l.__local")).when(F.col("l.__local") == 1, TURN).otherwise(KEEP).alias("__step"))
-    blocks = _state(blocks, ["file_id"], "__block", F.lit(0), "__after")
-    entered = F.lag("__after", 1, 0).over(Window.partitionBy("file_id").orderBy("__block"))
-    blocks = blocks.select("file_id", "__block", entered.alias("__in"))
-    rows = local.join(blocks, ["file_id", "__block"])
-    turned = F.when(F.col("__set").isNull(), (F.col("__local") + F.col("__in")) % 2).otherwise(F.col("__local"))
-    rows = rows.withColumn("__open", turned)
-    previous = F.lag("__open").over(Window.partitionBy("file_id", "__block").orderBy("idx"))
-    was_open = F.coalesce(previous, F.col("__in")) == 1
-    blank = F.length("line") == 0
-    if options.mode == CONTINUE_THROUGH:
-        new = ~(F.col("__c") & was_open)
-    elif options.mode == HALT_BEFORE:
-        new = F.col("__c") | ~was_open
-    elif options.mode in (CONTINUE_PAST, HALT_WITH):
-        new = ~was_open
-    else:
-        new = F.lit(True)
-    rows = rows.withColumn("__was", was_open).withColumn("__new", new)
     known = options.mode in (CONTINUE_THROUGH, HALT_BEFORE, CONTINUE_PAST, HALT_WITH)
-    lost = (F.col("__new") & F.col("__s0") & blank) if known else (blank & (F.col("__s0") | F.col("__was")))
-    rows = rows.where(~lost)
-    inside = Window.partitionBy("file_id", "__block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__start", F.last(F.when(F.col("__new"), F.col("idx")), True).over(inside))
-    starts = rows.groupBy("file_id", "__block").agg(F.max("__start").alias("m"))
-    carried = F.last("m", True).over(Window.partitionBy("file_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = starts.select("file_id", "__block", carried.alias("__carried"))
-    rows = rows.join(starts, ["file_id", "__block"]).withColumn("first_idx", F.coalesce("__start", "__carried", "idx"))
-    lines = F.sort_array(F.collect_list(F.struct("idx", "line")))
-    out = rows.groupBy("file_id", "first_idx").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("record"))
-    return out
+    keys = ["__block", "file_id"]
+    first_block = F.col("__block") == 0
+    upto = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _before(rows, keys, "idx", {"__w0": F.lit(0), "__w1": F.when(first_block, 0).otherwise(1)}, options.mode in (CONTINUE_PAST, HALT_WITH))
+    rows = rows.withColumn("__settled", first_block | F.col("__known"))
+    blank = F.length("line") == 0
+
+    def fate(was: Column) -> tuple[Column, Column]:
+        """Whether a line begins a record, and whether it is lost, by whether a record was open before it."""
+        if options.mode == CONTINUE_THROUGH:
+            new = ~(F.col("__c") & was)
+        elif options.mode == HALT_BEFORE:
+            new = F.col("__c") | ~was
+        else:
+            new = ~was if known else F.lit(True)
+        return new, (new & F.col("__s0") & blank) if known else (blank & (F.col("__s0") | was))
+
+    (new0, lost0), (new1, lost1) = fate(F.col("__w0") == 1), fate(F.col("__w1") == 1)
+    rows = rows.withColumns({"__n0": new0 & ~lost0, "__n1": new1 & ~lost1, "__l0": lost0, "__l1": lost1})
+    rows = rows.withColumns({
+        "__b0": F.last(F.when(F.col("__n0"), F.col("idx")), True).over(upto), "__b1": F.last(F.when(F.col("__n1"), F.col("idx")), True).over(upto),
+        "__sure": F.coalesce(F.last(F.when(F.col("__n0"), F.col("__settled")), True).over(upto), F.lit(False)),
+    })
+    kept = F.when(~(F.col("__l0") & F.col("__l1")), F.struct("idx", "line"))
+    text = lambda pairs, name: F.array_join(F.transform(F.array_sort(pairs), lambda x: x[name]), "\n")
+    last = F.struct("idx", _then(F.col("__w0")).alias("e0"), _then(F.col("__w1")).alias("e1"))
+    parts = rows.groupBy(*keys, "__b0", "__b1", "__l0", "__l1", "__sure").agg(
+        F.min("idx").alias("idx"), F.count(F.lit(1)).alias("n"), text(F.collect_list(kept), "line").alias("text"), F.max(last).alias("last")
+    )
+    whole = Window.partitionBy(*keys)
+    ends = {"__m0": F.max("__b0").over(whole), "__m1": F.max("__b1").over(whole), "__end": F.max("last").over(whole)}
+    parts = materialise(parts.withColumns(ends).drop("last"), "records")
+    done = F.col("__sure") & ~F.col("__l0") & (F.col("__b0") < F.col("__m0"))
+    closed = parts.where(done).select("file_id", F.col("__b0").alias("first_idx"), F.col("n").alias("n_lines"), F.col("text").alias("record"))
+    blocks = parts.groupBy(*keys).agg(*(F.max(c).alias(c) for c in ends))
+    e0, e1 = F.col("__end.e0"), F.col("__end.e1")
+    step = F.when(e0 == e1, e0).when(e0 == 0, KEEP).otherwise(TURN)
+    blocks = _before(blocks.withColumn("__step", step), ["file_id"], "__block", {"__in": F.lit(0)})
+    by_file = Window.partitionBy("file_id").orderBy("__block")
+    at_end = F.when(F.col("__in") == 0, F.col("__m0")).otherwise(F.col("__m1"))
+    carried = F.last(at_end, True).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(F.col("file_id").alias("b_file"), F.col("__block").alias("b_block"), "__in", carried.alias("carried"))
+    edge = parts.where(~done).join(blocks, F.col("file_id").eqNullSafe(F.col("b_file")) & (F.col("__block") == F.col("b_block")))
+    by_entry = lambda name: F.when(F.col("__in") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    edge = edge.where(~by_entry("__l")).withColumn("first_idx", F.coalesce(by_entry("__b"), "carried", "idx"))
+    joined = edge.groupBy("file_id", "first_idx").agg(F.sum("n").alias("n_lines"), text(F.collect_list(F.struct("idx", "text")), "text").alias("record"))
+    return closed.unionByName(joined)
 
 
 class Machine:
