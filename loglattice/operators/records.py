@@ -29,8 +29,34 @@ def records(files: DataFrame, file_id: str, content: str, separator: str = "\n",
     return rows if blank else rows.where(F.col("line") != "")
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x + y)
+
+
+def records_with_offsets(files: DataFrame, file_id: str, content: str, separator: str = "\n") -> DataFrame:
+    """(file_id, idx, line, start_pos, end_pos): as ``records`` with blank ones, and the bytes of each with its separator.
+
+    Sums run within the row of a file, in two steps: over groups of lines, of which a file of n lines has about
+    (n / 1.26) ** (2 / 3), then within a group. Nothing is shuffled.
+    """
+    n, g, w, sums = len(separator.encode()), F.col("__group"), F.col("__widths"), F.col("__sums")
+    rows = pinned(files.select(F.col(file_id).alias("file_id"), F.col(content).alias("__text")), "__all", chunks(F.col("__text"), separator)).drop("__text")
+    rows = pinned(rows, "__all", F.slice("__all", F.lit(1), F.size("__all") - 1))
+    rows = pinned(rows, "__widths", F.transform("__all", lambda x: (F.octet_length(x) + n).cast("long")))
+    rows = pinned(rows, "__group", F.greatest(F.ceil(F.cbrt(2 * F.size(w))), F.lit(1)).cast("int"))
+    groups = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(w) - 1, g).cast("int")), lambda k: _total(F.slice(w, k * g + 1, g)))
+    rows = pinned(rows, "__sums", F.when(F.size(w) > 0, groups).otherwise(F.array().cast("array<bigint>")))
+    rows = pinned(rows, "__before", F.transform(sums, lambda x, k: _total(F.slice(sums, F.lit(1), k))))
+    ends = F.transform(w, lambda x, i: F.get("__before", F.call_function("div", i, g).cast("int")) + _total(F.slice(w, i - i % g + 1, i % g + 1)))
+    rows = rows.select("file_id", F.posexplode(F.arrays_zip(F.col("__all").alias("line"), F.col("__widths").alias("width"), ends.alias("end_pos"))).alias("idx", "r"))
+    return rows.select("file_id", "idx", "r.line", (F.col("r.end_pos") - F.col("r.width")).alias("start_pos"), "r.end_pos")
+
+
 def with_offsets(rows: DataFrame, separator: str = "\n") -> DataFrame:
-    """Adds start_pos and end_pos: the bytes of each record with its separator. ``rows`` must hold blank records too."""
+    """Adds start_pos and end_pos: the bytes of each record with its separator. ``rows`` must hold blank records too.
+
+    For rows of which no one has the contents any more (else see ``records_with_offsets``): a file's rows are sorted.
+    """
     width = F.octet_length("line") + len(separator.encode())
     end = F.sum(width).over(Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("end_pos", end).withColumn("start_pos", F.col("end_pos") - width)

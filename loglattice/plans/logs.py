@@ -55,8 +55,7 @@ def records_blank_mode(t):
 
 @query(_LINES + "select file_id, idx, cast(e - strlen(line) - 1 as bigint) start_pos, cast(e as bigint) end_pos from (select *, sum(strlen(line) + 1) over (partition by file_id order by idx) e from r where idx < n - 1)")
 def record_offsets(t):
-    rows = records.records(t("documents"), "doc_id", "text", blank=True)
-    return records.with_offsets(rows).select("file_id", "idx", "start_pos", "end_pos")
+    return records.records_with_offsets(t("documents"), "doc_id", "text").select("file_id", "idx", "start_pos", "end_pos")
 
 
 @query("select doc_id, cast(strlen(text) - strlen(string_split(text, chr(10))[-1]) as bigint) consumed from documents")
@@ -73,7 +72,7 @@ def residual_multiline(t):
 def resume_from_offset(t):
     """The records of each file after its first two."""
     docs = t("documents")
-    saved = records.with_offsets(records.records(docs, "doc_id", "text", blank=True)).where("idx = 1").select(F.col("file_id").alias("id"), F.col("end_pos").alias("start"))
+    saved = records.records_with_offsets(docs, "doc_id", "text").where("idx = 1").select(F.col("file_id").alias("id"), F.col("end_pos").alias("start"))
     return records.resumed(docs, saved, "doc_id", "text")
 
 

@@ -77,5 +77,16 @@ def test_records_and_offsets(spark, text, sep, want, end):
     assert df.select(records.consumed(F.col("t"), sep)).first()[0] == end
     rows = records.with_offsets(records.records(df, "f", "t", sep, blank=True), sep)
     assert (rows.agg(F.max("end_pos")).first()[0] or 0) == end
+    same = records.records_with_offsets(df, "f", "t", sep)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, rows.select(same.columns).collect()))
     with pytest.raises(ValueError):
         records.chunks(F.col("t"), "")
+
+
+def test_offsets_of_long_and_missing_contents(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "ü" * 3 + "\n" + "x\n" * 20_000), (2, None), (3, ""), (4, "rest")], "f int, t string")
+    got = records.records_with_offsets(df, "f", "t")
+    assert got.where("file_id = 1").agg(F.count(F.lit(1)), F.max("end_pos"), F.sum(F.col("end_pos") - F.col("start_pos"))).first()[:] == (20_001, 40_007, 40_007)
+    assert got.where("file_id <> 1").count() == 0
