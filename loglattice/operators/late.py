@@ -8,11 +8,12 @@ include what an earlier one took; where machines share a batch, the contributor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.session import pinned
+from loglattice.operators.increments import VersionedTable
 from loglattice.operators.instants import UNFIXABLE, with_arrival_instant, with_host_zone, with_instant
+from loglattice.session import fresh, pinned
 
 HOUR_US = 3_600_000_000
 
@@ -80,6 +81,40 @@ def totals(state: DataFrame) -> DataFrame:
     return by_source.groupBy("hour_no").agg(*(F.sum(f).alias(f) for f in FIELDS), F.count(F.lit(1)).alias("n_sources"))
 
 
+class CounterStore:
+    """The counters of all deliveries so far, in a versioned table: late batches correct the totals, each exactly once.
+
+    A delivery commits its counters under its name, as contributors of their own: it may hold any part of any batch, and
+    deliveries may come in any order. One that is repeated changes nothing.
+    """
+
+    STATE = "hour_no long, source string, part string, version long, n long, n_amended long, bytes long, duration_us long"
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 32):
+        """After ``most`` deliveries their counters are written as one, summed up by hour and source."""
+        self.table, self.most = VersionedTable(spark, path), most
+
+    def add(self, rows: DataFrame, delivery: str, source: str = "file") -> bool:
+        """Takes rows as of ``timed_access``; False if the delivery was committed before."""
+        if delivery in self.table.manifest()["committed"]:
+            return False
+        part = fresh(rows.columns, "delivery")[0]
+        state = counters(rows.withColumn(part, F.lit(delivery)), source, part)
+        done = self.table.commit(state.select(*(c.split()[0] for c in self.STATE.split(", "))), delivery)
+        m = self.table.manifest()
+        if done and len(m["folders"]) > self.most:
+            name = f"compact {m['version']}"
+            whole = self.state().groupBy("hour_no", "source").agg(F.max("version").alias("version"), *(F.sum(f).alias(f) for f in FIELDS)).withColumn("part", F.lit(name))
+            self.table.commit(whole.select(*(c.split()[0] for c in self.STATE.split(", "))), name, after=m["version"], replaces=m["folders"])
+        return done
+
+    def state(self) -> DataFrame:
+        return merge(self.table.read_folders(self.table.manifest()["folders"], self.STATE))
+
+    def totals(self) -> DataFrame:
+        return totals(self.state())
+
+
 def late_cases(access: DataFrame, events: DataFrame, hosts: DataFrame) -> DataFrame:
     """(event_id, hour_no, verdict) of the rows that arrived at or after the end of their hour."""
     return timed_access(access, events, hosts).where(F.col("verdict").isin("amend", "cut")).select("event_id", "hour_no", "verdict")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,17 @@ class OffsetStore:
     def __init__(self, spark: SparkSession, path: str, most: int = 32):
         self.spark, self.table, self.most = spark, VersionedTable(spark, path), most
 
-    def _append(self, rows: DataFrame, deleted: bool) -> None:
+    def _append(self, rows: DataFrame, deleted: bool, tries: int = 5) -> None:
+        """Commits; where another run commits at the same time, tries again after 50, 100 and so on milliseconds."""
+        for k in range(tries):
+            try:
+                return self._commit(rows, deleted)
+            except RuntimeError:
+                if k + 1 == tries:
+                    raise
+                time.sleep(0.05 * (k + 1))
+
+    def _commit(self, rows: DataFrame, deleted: bool) -> None:
         seq = self.table.manifest()["version"] + 1
         now = F.current_timestamp()
         cols = {"created_at": now, "updated_at": now, "seq": F.lit(seq).cast("long"), "deleted": F.lit(deleted)}

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loglattice.session import work_path
 from loglattice.operators import late
 
 H = late.HOUR_US
@@ -61,3 +62,30 @@ def test_states_of_different_rows_add_up(spark, table):
     timed = late.timed_access(table("access_log"), table("line_events"), table("log_hosts")).cache()
     parts = [late.counters(timed.where(F.pmod("batch_no", F.lit(3)) == k)) for k in range(3)]
     assert by_hour(late.merge(*parts)) == by_hour(late.counters(timed))
+
+
+def test_a_store_takes_each_delivery_once(spark):
+    import random
+
+    schema = "event_id long, file string, batch_no long, hour_no long, verdict string, bytes long, duration double"
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), i % 3, rng.randint(1, 3), rng.choice(["base", "amend", "cut"]), rng.choice([None, i]), 0.5) for i in range(90)]
+    want = {}
+    for _, file, _, hour, verdict, size, _ in rows:
+        if verdict != "cut":
+            w = want.setdefault(hour, [0, 0, 0, 0, set()])
+            w[0] += 1
+            w[1] += verdict == "amend"
+            w[2] += size or 0
+            w[3] += 500_000
+            w[4].add(file)
+    store = late.CounterStore(spark, work_path(spark, "late"), most=3)
+    parts = {str(k): spark.createDataFrame([r for r in rows if (r[0] * 7) % 6 == k], schema) for k in range(6)}  # batches are split over deliveries
+    order = [*parts, *parts]
+    rng.shuffle(order)
+    took = [store.add(parts[k], k) for k in order]
+    assert sum(took) == 6 and not store.add(parts["0"].limit(0), "0")
+    got = {r["hour_no"]: (r["n"], r["n_amended"], r["bytes"], r["duration_us"], r["n_sources"]) for r in store.totals().collect()}
+    assert got == {h: (*w[:4], len({f or "" for f in w[4]})) for h, w in want.items()}
+    assert len(store.table.manifest()["folders"]) <= 4
+    assert late.CounterStore(spark, work_path(spark, "late")).totals().count() == 0
