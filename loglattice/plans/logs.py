@@ -567,3 +567,18 @@ def flagship(t):
     """Audit lines of all files: parsed, joined with their events, and summed up by host and type."""
     rows = _audited(t).select("event_id", F.col("a.type").alias("rec_type"), "a.epoch_sec", "a.serial").join(t("line_events").select("event_id", "host_name"), "event_id")
     return rows.groupBy("host_name", "rec_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("serial").alias("n_serials"), F.max("epoch_sec").alias("last_sec"))
+
+
+_AUDIT_FILES = "with l as (select file_id, byte_pos idx, arg_min(line, event_id) line from line_events where file_id is not null and byte_pos is not null and regexp_matches(file, '(^|/)audit[^/]*$') group by 1, 2)"
+_RECORDS = f"from (select file_id || '#' || first_idx event_id, record raw from ({_ml_sql('haltBefore', _AUDIT_FILES, '^type=', '^type=')}) where contains(record, 'msg=audit('))"
+
+
+@query(_PAIRS.replace("from audit_records", _RECORDS) + ", v as (select event_id, \"value\" res from f where \"key\" = 'res') select ty rec_type, coalesce(res, '') res, count(*) n, count(distinct serial) n_serials, max(epoch_sec) last_sec from h left join v using (event_id) group by 1, 2")
+def flagship_chain(t):
+    """The whole way of the audit logs: their files, kept lines, records of several lines, filter, parser with fields, sums."""
+    rows = t("line_events").where(filters.included(F.col("file"), ["audit*"]) & F.col("file_id").isNotNull() & F.col("byte_pos").isNotNull())
+    rows = rows.groupBy(F.col("byte_pos").alias("idx"), "file_id").agg(F.min_by("line", "event_id").alias("line"))
+    found = multiline.grouped(rows, MultilineOptions("haltBefore", "^type=", "^type=", 1.0), block_lines=1 << 20)
+    found = audit.parsed(found.where(filters.allowed(F.col("record"), ["msg=audit("])), "record", "a").where(F.col("a").isNotNull())
+    rows = found.select(F.col("a.type").alias("rec_type"), F.coalesce(F.col("a.fields")["res"], F.lit("")).alias("res"), "a.serial", "a.epoch_sec")
+    return rows.groupBy("rec_type", "res").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("serial").alias("n_serials"), F.max("epoch_sec").alias("last_sec"))
