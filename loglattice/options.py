@@ -59,7 +59,9 @@ class CollectorOptions:
     exclude: list[str] = field(default_factory=list)
     db_path: str = "collector.db"
     store_offsets: bool = True
-    max_batch_bytes: int = 1 << 30
+    #: Most bytes of a stream's batch, 0 for no bound; and of one file in it, where its lines are grouped by one task.
+    max_batch_bytes: int = 0
+    max_file_bytes: int = 256 << 20
     multiline: MultilineOptions | None = None
 
     def default_fingerprint(self) -> None:

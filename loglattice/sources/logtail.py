@@ -4,8 +4,9 @@ Formats and offsets: ``spark.read.format("logtail")`` gives the complete records
 and over byte ranges of large files; ``spark.readStream`` reads what was appended since the offsets of the checkpoint.
 Options: include, exclude (JSON lists or comma-separated), separator, fingerprintStrategy, fingerprintSize, splitBytes,
 startOffsets (JSON: file id to byte), rest (also the incomplete record at a file's end), keepBlank, workers (threads that
-identify files on the driver), maxBytes (most bytes of a stream's batch; 0: no bound; of a stream that goes on from a
-checkpoint, startOffsets should then say where it stands, as the collector does). Paths must be visible to all executors.
+identify files on the driver), maxBytes and maxFileBytes (most bytes of a stream's batch, in all and of one file; 0: no
+bound; of a stream that goes on from a checkpoint, startOffsets should then say where it stands, as the collector does).
+Paths must be visible to all executors.
 Records are split by block and handed over as Arrow batches.
 """
 
@@ -130,7 +131,7 @@ class _Options:
         self.rest = low.get("rest", "false").lower() == "true"
         self.blank = low.get("keepblank", "false").lower() == "true"
 
-        self.workers, self.most = max(1, int(low.get("workers", 16))), int(low.get("maxbytes", 0))
+        self.workers, self.most, self.most_of_file = max(1, int(low.get("workers", 16))), int(low.get("maxbytes", 0)), int(low.get("maxfilebytes", 0))
 
     def found(self, known: Known | None = None) -> list[Found]:
         return listing(self.include, self.exclude, self.strategy, self.size, self.separator, self.workers, known)
@@ -217,23 +218,25 @@ class _Stream(DataSourceStreamReader):
         return self.known.of(f.path, "end", lambda: complete_end(f.path, self.o.separator.encode(), f.size))
 
     def latestOffset(self):
-        """The ends of complete records. With ``maxBytes`` no more than that beyond the last plan, but one record at least.
+        """The ends of complete records; no more than ``maxBytes`` in all and ``maxFileBytes`` of each file beyond the last
 
-        Files that waited longest come first: each time the order starts after the last one that was read.
+        plan, but one record at least. Files of which least was read come first.
         """
         found = self.o.found(self.known)
         with ThreadPoolExecutor(self.o.workers) as pool:
             ends = dict(zip((f.file_id for f in found), pool.map(self._end, found)))
-        if self.o.most:
-            left = self.o.most
+        if self.o.most or self.o.most_of_file:
+            whole, of_file = (m or float("inf") for m in (self.o.most, self.o.most_of_file))
+            left = whole
             order = sorted(found, key=lambda f: (self.planned.get(f.file_id, 0), f.path))
             for f in order:
                 begin = self.planned.get(f.file_id, 0)
                 begin = begin if begin <= ends[f.file_id] else 0
                 more = ends[f.file_id] - begin
-                if more > left:
-                    upto = complete_end(f.path, self.o.separator.encode(), begin + left) if left > 0 else begin
-                    if upto <= begin and left == self.o.most:
+                cap = min(left, of_file)
+                if more > cap:
+                    upto = complete_end(f.path, self.o.separator.encode(), begin + cap) if cap > 0 else begin
+                    if upto <= begin and (left == whole or cap < left):
                         upto = next_end(f.path, self.o.separator.encode(), begin)
                     ends[f.file_id] = max(upto, begin)
                 left -= ends[f.file_id] - begin

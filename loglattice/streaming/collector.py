@@ -44,7 +44,7 @@ class Collector:
         c = self.o.collector
         return reader.format("logtail").options(
             include=json.dumps(c.include), exclude=json.dumps(c.exclude), separator=c.separator, fingerprintStrategy=c.fingerprint_strategy,
-            fingerprintSize=str(c.fingerprint_size or 1024), workers=str(16 * max(1, c.workers)), maxBytes=str(c.max_batch_bytes), keepBlank=str(blank).lower(), rest=str(rest).lower(), startOffsets=json.dumps(start or {}),
+            fingerprintSize=str(c.fingerprint_size or 1024), workers=str(16 * max(1, c.workers)), maxBytes=str(c.max_batch_bytes), maxFileBytes=str(c.max_file_bytes if blank else 0), keepBlank=str(blank).lower(), rest=str(rest).lower(), startOffsets=json.dumps(start or {}),
         )
 
     def _deliver(self, events: DataFrame, batch: int | None = None) -> None:

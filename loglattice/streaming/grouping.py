@@ -36,7 +36,7 @@ class Grouping(StatefulProcessor):
             self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        """A file's new lines in order of their bytes; how many there can be is bounded by the source's maxBytes."""
+        """A file's new lines in order of their bytes; how many there can be is bounded by the source's maxFileBytes."""
         machine, records = Machine(self.options), []
         old = self.held.get() if self.held.exists() else None
         machine.lines, began = (list(old[1]), old[2]) if old else ([], 0)

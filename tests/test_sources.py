@@ -108,6 +108,11 @@ def test_stream_batches_are_bounded(tmp_path):
     assert sorted(got) == sorted([f"{k}-{i:03d}" for k in range(3) for i in range(50)] + ["x" * 1000, "y"])
     s = logtail._Stream(logtail._Options({"include": str(tmp_path / "*.log")}))
     assert s.latestOffset() == s.latestOffset() == start
+    s, begin, rounds = logtail._Stream(logtail._Options({"include": str(tmp_path / "*.log"), "maxFileBytes": "60"})), {}, 0
+    while (end := s.latestOffset()) != begin:
+        assert all(v[1] - begin.get(k, ["", 0])[1] in (1001, *range(61)) for k, v in end.items())
+        begin, rounds = end, rounds + 1
+    assert begin == start and rounds == 5
 
 
 def test_tracker():
