@@ -214,7 +214,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _collected(words: DataFrame) -> dict[tuple[str, str], int]:
     """The counts of all words; no more of them reach the driver than the sample of documents holds."""
     counts = words.mapInArrow(_count_words, "word string, code string, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
-    return {(r["word"], r["code"]): r["n"] for r in counts.toLocalIterator()}
+    return {(r["word"], r["code"]): r["n"] for r in counts.collect()}
 
 
 def fit(documents: DataFrame, sample: int = 6000) -> Model:
